@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from graphweft.llm import mixing
+from graphweft.llm import mixing, packing
 
 
 def queries() -> dict:
-    return {"op7_source_mixing": mixing.query}
+    return {"op7_source_mixing": mixing.query, "op10_best_fit_packing": packing.query}
 
 
 def oracle_sql() -> dict:
