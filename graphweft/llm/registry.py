@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from graphweft.llm import mixing, packing
+from graphweft.llm import mixing, packing, warc
 
 
 def queries() -> dict:
-    return {"op7_source_mixing": mixing.query, "op10_best_fit_packing": packing.query}
+    return {"op7_source_mixing": mixing.query, "op5_seekable_warc": warc.query, "op10_best_fit_packing": packing.query}
 
 
 def oracle_sql() -> dict:
-    return {"op7_source_mixing": mixing.ORACLE}
+    return {"op7_source_mixing": mixing.ORACLE, "op5_seekable_warc": warc.ORACLE}
