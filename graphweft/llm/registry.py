@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from graphweft.llm import mixing, packing, warc
+from graphweft.llm import language, mixing, packing, warc
 
 
 def queries() -> dict:
-    return {"op7_source_mixing": mixing.query, "op5_seekable_warc": warc.query, "op10_best_fit_packing": packing.query}
+    return {
+        "op5_seekable_warc": warc.query,
+        "op7_source_mixing": mixing.query,
+        "op9_language_mixture": language.query,
+        "op10_best_fit_packing": packing.query,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_source_mixing": mixing.ORACLE, "op5_seekable_warc": warc.ORACLE}
+    return {"op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
