@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphweft.llm import language, mixing, packing, warc
+from graphweft.llm import language, mixing, packing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op3_quality_classifier": quality.query,
         "op5_seekable_warc": warc.query,
         "op7_source_mixing": mixing.query,
         "op9_language_mixture": language.query,
