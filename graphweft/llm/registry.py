@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphweft.llm import language, mixing, packing, quality, warc
+from graphweft.llm import language, mixing, packing, quality, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op2_maxscore_topk": topk.query,
         "op3_quality_classifier": quality.query,
         "op5_seekable_warc": warc.query,
         "op7_source_mixing": mixing.query,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
+    return {"op2_maxscore_topk": topk.ORACLE, "op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
