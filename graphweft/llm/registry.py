@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphweft.llm import language, mixing, packing, quality, topk, warc
+from graphweft.llm import language, lattice, mixing, packing, quality, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_lattice_near_dedup": lattice.query,
         "op2_maxscore_topk": topk.query,
         "op3_quality_classifier": quality.query,
         "op5_seekable_warc": warc.query,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_maxscore_topk": topk.ORACLE, "op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
+    return {"op1_lattice_near_dedup": lattice.ORACLE, "op2_maxscore_topk": topk.ORACLE, "op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
