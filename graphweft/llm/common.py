@@ -68,3 +68,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def deal(rows: DataFrame, key: str, by: str, limit: int) -> DataFrame:
+    """``rows`` dealt for comparing all rows of a key: with columns pair and side.
+
+    A key of at most ``limit`` rows is one task (pair 0, side 2). A larger one is cut into parts by the hash of ``by``, and each
+    pair of parts is a task: rows of side 0 meet those of side 1 there; where a part meets itself, side is 2.
+    """
+    sizes = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > limit).select(key, F.ceil(F.col("rows") * 2 / limit).cast("int").alias("parts")))
+    out = rows.join(sizes, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+    other = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda k: F.struct((F.least(k, F.col("part")).cast("long") * F.col("parts") + F.greatest(k, F.col("part"))).alias("pair"), F.when(k == F.col("part"), 2).when(k > F.col("part"), 0).otherwise(1).alias("side")),
+    )
+    return out.withColumn("o", F.explode(other)).select(*rows.columns, "o.pair", "o.side")
+
+
+def runs(batches, keys: list[str]):
+    """Complete groups of sorted Arrow batches: (table, bounds) with each group of equal ``keys`` whole in one table."""
+    import numpy as np
+    import pyarrow as pa
+
+    left = None
+    for batch in batches:
+        have = pa.Table.from_batches(([] if left is None else left.to_batches()) + [batch]).combine_chunks()
+        new = np.zeros(max(len(have) - 1, 0), dtype=bool)
+        for k in keys:
+            c = have.column(k).to_numpy()
+            new |= c[1:] != c[:-1]
+        edges = np.flatnonzero(new) + 1
+        if len(edges):
+            yield have.slice(0, int(edges[-1])), np.concatenate([[0], edges])
+            left = have.slice(int(edges[-1]))
+        else:
+            left = have
+    if left is not None and len(left):
+        yield left.combine_chunks(), np.array([0, len(left)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import language, lattice, mixing, packing, quality, topk, warc
+from graphweft.llm import language, lattice, minhash, mixing, packing, quality, topk, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_lattice_near_dedup": lattice.query,
         "op2_maxscore_topk": topk.query,
         "op3_quality_classifier": quality.query,
+        "op4_minhash_forest": minhash.query,
         "op5_seekable_warc": warc.query,
         "op7_source_mixing": mixing.query,
         "op9_language_mixture": language.query,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_lattice_near_dedup": lattice.ORACLE, "op2_maxscore_topk": topk.ORACLE, "op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
+    return {"op1_lattice_near_dedup": lattice.ORACLE, "op2_maxscore_topk": topk.ORACLE, "op4_minhash_forest": minhash.ORACLE, "op5_seekable_warc": warc.ORACLE, "op7_source_mixing": mixing.ORACLE}
