@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import language, lattice, minhash, mixing, packing, quality, topk, warc
+from graphweft.llm import language, lattice, minhash, mixing, packing, quality, suffix, topk, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_classifier": quality.query,
         "op4_minhash_forest": minhash.query,
         "op5_seekable_warc": warc.query,
+        "op6_suffix_array_dedup": suffix.query,
         "op7_source_mixing": mixing.query,
         "op9_language_mixture": language.query,
         "op10_best_fit_packing": packing.query,
