@@ -28,7 +28,9 @@ _BASE = 0xD6E8FEB86659FD93
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n, base, dtype=np.uint64)]).astype(np.uint64))
+    factors = np.full(n + 1, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
 
 
 def anchors(text: bytes, length: int, gram: int, powers: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
