@@ -172,11 +172,13 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
                     k = int(np.argmax(share))
                     out.append((langs[chosen[k]], float(min(max(share[k], 0), 1)), {langs[c]: float(s) for c, s in zip(chosen, share)}))
                 made = pa.array([{"lang_pred": a, "score": b, "languages": list(c.items())} for a, b, c in out], extra)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*part.schema.names[1:], "_found"])
+                back = 0 if "text" in keep else 1  # the text goes back only where it is asked for
+                yield pa.RecordBatch.from_arrays([*part.columns[back:], made], names=[*part.schema.names[back:], "_found"])
 
     keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "languages")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", _found struct<lang_pred: string, score: double, languages: map<string, double>>"
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(predict, schema).select(*keep, "_found.*")
+    ordered = [c for c in ("text",) if c in keep] + [c for c in keep if c != "text"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*ordered).dtypes) + ", _found struct<lang_pred: string, score: double, languages: map<string, double>>"
+    return docs.select("text", *(c for c in ordered if c != "text")).mapInArrow(predict, schema).select(*keep, "_found.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
