@@ -11,6 +11,8 @@ with a third of all pieces is spread over all buckets.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 
@@ -25,29 +27,59 @@ from graphweft.llm.common import cut, partitions
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Texts tokenised at once.
+TEXTS = 256
 #: Pieces in a (length, bucket) group, on average over all lengths, at which more buckets are used.
 BUCKET_ROWS = 20_000
 
 
 class _WordIds(dict):
-    """Little-endian ids of words between ASCII spaces; the tokenizer never joins tokens over a space."""
+    """Little-endian ids of pieces of text. The tokenizer folds case and never joins tokens over a piece's ends.
+
+    A text whose characters are ASCII or letters is split into letters, digits and signs as the tokenizer does it
+    itself; others only at ASCII spaces. Texts with special tokens are encoded whole.
+    """
+
+    #: Fixed by the tokenizer's own pattern, for ASCII and, as one kind, letters beyond it.
+    SPLIT = re.compile(rb"'(?:[stmd]|re|ve|ll)|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = got
-        return got
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def split(self, text: bytes) -> list[bytes] | None:
+        if b"<|" in text:
+            return None
+        if text.isascii() or all(c < "\x80" or unicodedata.normalize("NFC", c).lower().isalpha() for c in set(text.decode())):
+            return self.SPLIT.findall(text.lower())
+        return text.split()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, found: list[list[bytes] | None]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = list(set().union(*(f for f in found if f)) - self.keys())
+        if not new:
+            return
+        [all_ids] = self.ids([b" ".join(new).decode()])
+        cuts = 4 * (np.flatnonzero(self.ends[np.frombuffer(all_ids, dtype="<u4")]) + 1)
+        if len(cuts) == len(new):  # each is one word to the tokenizer
+            cuts = cuts.tolist()
+            self.update(zip(new, (all_ids[i:j] for i, j in zip([0, *cuts], cuts))))
+        else:
+            self.update(zip(new, self.ids([x.decode() for x in new])))
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        found = [self.split(t) for t in texts]
+        self.learn(found)
+        return [self.ids([t.decode()])[0] if f is None else b"".join(map(self.__getitem__, f)) for t, f in zip(texts, found)]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -61,15 +93,18 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def cut_up(batches):
         words, end = _WordIds(path or tokenizer_path()), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.of(text.as_buffer().to_pybytes() if text.is_valid else b"") + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    for column, value in zip(out, (doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+                out: list[list] = [[], [], [], [], []]
+                for doc, ids in zip(batch.column(0).to_pylist(), words.of(texts)):
+                    ids += end
+                    for k in range(0, len(ids), 4 * capacity):
+                        part = ids[k : k + 4 * capacity]
+                        for column, value in zip(out, (doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(cut_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
