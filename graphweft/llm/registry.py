@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import language, lattice, minhash, mixing, packing, quality, suffix, topk, warc
+from graphweft.llm import language, lattice, minhash, mixing, packing, quality, suffix, topk, warc, windows
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_seekable_warc": warc.query,
         "op6_suffix_array_dedup": suffix.query,
         "op7_source_mixing": mixing.query,
+        "op8_compact_windows": windows.query,
         "op9_language_mixture": language.query,
         "op10_best_fit_packing": packing.query,
     }
