@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     rows = features(some, vectors, ["doc_id", "quality"]).toPandas()
     rows["x"] = rows["x"].map(tuple)
     rows = rows.sort_values(["doc_id", "x"])
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), 2 * SIZE + 1)
     return vectors, Network(x, (rows["quality"].to_numpy() > 0).astype(np.float64))
 
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
     def run(batches):
         buckets = _Buckets()
         for batch in batches:
-            x = np.array([_pool(buckets.of(t.as_py()), vectors.value) for t in batch.column(0)], dtype=np.float64).reshape(batch.num_rows, -1)
+            x = np.array([_pool(buckets.of(t.as_py()), vectors.value) for t in batch.column(0)], dtype=np.float64).reshape(batch.num_rows, 2 * SIZE + 1)
             p = net.value.probability(x) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
 
