@@ -107,6 +107,18 @@ def compare(op: str, a, b) -> tuple[Column, str]:
     return out, "bool"
 
 
+def holds(op: str, a, b) -> Column:
+    """A comparison where only its truth counts: numbers compare bare, NaN apart."""
+    (x, s), (y, t) = a, b
+    if op in ("=", "<>") or not {kind(s), kind(t)} <= set(NUMBERS):
+        return compare(op, a, b)[0]
+    out = _ordered(op, x, y)
+    for c, k in ((x, s), (y, t)):
+        if k == "float":
+            out = out & ~F.isnan(c)
+    return out
+
+
 def _ordered(op: str, x: Column, y: Column) -> Column:
     return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 

@@ -412,7 +412,8 @@ class Planner:
                 return
         if self._has_aggregate(e):
             raise QueryError("InvalidAggregation", "in WHERE")
-        condition = self.boolean(e)
+        # only true rows stay, so null and false needn't be told apart, and the scan can take the comparison
+        condition = L.holds(e[1], self.expr(e[2]), self.expr(e[3])) if e[0] == "cmp" else self.boolean(e)
         self.rows.df = self.rows.df.filter(condition)
 
     def match(self, clause: Clause) -> None:

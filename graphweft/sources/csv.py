@@ -25,7 +25,8 @@ def load(spark: SparkSession, folder: str, names: list[str], sep: str = "|") ->
             if (len(bare) == 5) != edges:
                 continue
             raw = spark.read.option("sep", sep).option("header", True).option("inferSchema", True).csv(f"{folder}/{name}")
-            df = raw.toDF(*(f"{c}_{k}" if raw.columns.index(c) != k else c for k, c in enumerate(raw.columns)))
+            plain = [re.sub(r"[.`]", "_", c) for c in raw.columns]
+            df = raw.toDF(*(c if plain.count(c) == 1 else f"{c}_{k}" for k, c in enumerate(plain)))
             if not edges:
                 g = g.add_nodes(bare[0].capitalize(), df.withColumn("_key", F.col(df.columns[0]).cast("bigint")), "_key", {c: c for c in df.columns})
             else:
