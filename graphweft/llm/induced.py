@@ -58,8 +58,12 @@ class Queue:
         """All blocks of a character, also those that come while it is drained."""
         k = 0
         while k < len(self.blocks.get(c, ())):
-            yield self.spool.get(self.blocks[c][k])
-            k += 1
+            some, size = [], 0
+            while k < len(self.blocks[c]) and size < BLOCK:
+                some.append(self.spool.get(self.blocks[c][k]))
+                size += len(some[-1][0])
+                k += 1
+            yield some[0] if len(some) == 1 else tuple(np.concatenate([b[i] for b in some]) for i in range(len(some[0])))
 
     def all(self, c: int) -> tuple[np.ndarray, np.ndarray]:
         got = list(self.drain(c))
@@ -104,12 +108,12 @@ class _Sweep:
             if self.values and len(common):
                 np.minimum(self.carry, common.min(), out=self.carry)
             return
-        to = self.t[before[ok]].astype(np.int64)
+        to = self.t[before[ok]]
         order = np.argsort(to, kind="stable")
         ok, to = ok[order], to[order]
         first = np.concatenate([[True], to[1:] != to[:-1]])
         heads = np.flatnonzero(first)
-        chars = to[heads]
+        chars = to[heads].astype(np.int64)
         if self.values:
             start = np.where(first, 0, np.concatenate([[0], ok[:-1] + 1]))
             padded = np.append(common, _FAR)
@@ -180,13 +184,13 @@ def _doubling(names: np.ndarray, reach: int) -> tuple[np.ndarray, list[np.ndarra
         follow = np.zeros(m, np.int64)
         follow[: m - k] = rank[k:] + 1
         key = rank * (m + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.empty(m, np.int64)
         new[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
         ranks.append(new)
         k *= 2
-    return np.argsort(ranks[-1], kind="stable"), ranks
+    return np.argsort(ranks[-1]), ranks
 
 
 def suffixes(t: np.ndarray, cap: int, budget: int = BUDGET, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from graphweft.llm.induced import repeated_starts
 
 LENGTH, GRAM = 400, 32
 #: Bytes hashed at once; bytes of segments that are sorted as one shard, unless one anchor has more.
-CHUNK, SHARD = 1 << 20, 4 << 20
+CHUNK, SHARD = 1 << 20, 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -99,8 +100,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _repeats(segments: DataFrame, length: int) -> DataFrame:
     """h, g1, g2, ranges: runs of windows (by their starts within the segment) that repeat among contents of one anchor."""
 
-    def sort(tables, out):
-        have = pa.concat_tables(tables)
+    def sort(have, out):
         found = repeated_starts(have.column("bytes").to_pylist(), length)
         h, g1, g2 = (have.column(c).to_numpy() for c in ("h", "g1", "g2"))
         for k, mark in enumerate(found):
@@ -111,19 +111,15 @@ def _repeats(segments: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
     def run(batches):
-        held, size = [], 0
-        for have, _ in runs(batches, ["h"]):
-            held.append(have)
-            size += have.column("bytes").nbytes
-            if size >= SHARD:
+        for have, bounds in runs(batches, ["h"]):
+            upto = np.concatenate([[0], np.cumsum(pc.binary_length(have.column("bytes")).to_numpy())])[bounds]
+            k = 0
+            while k < len(bounds) - 1:  # whole groups, SHARD bytes of them or one
+                j = max(k + 1, int(np.searchsorted(upto, upto[k] + SHARD, side="right")) - 1)
                 out: list[dict] = []
-                sort(held, out)
+                sort(have.slice(int(bounds[k]), int(bounds[j] - bounds[k])), out)
                 yield pa.RecordBatch.from_pylist(out, schema)
-                held, size = [], 0
-        if held:
-            out = []
-            sort(held, out)
-            yield pa.RecordBatch.from_pylist(out, schema)
+                k = j
 
     shards = segments.repartition(partitions(segments.sparkSession), "h").sortWithinPartitions("h", "g1", "g2")
     return shards.mapInArrow(run, "h long, g1 long, g2 long, ranges array<struct<a: long, b: long>>")
@@ -166,9 +162,12 @@ def _left(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _marked(docs: DataFrame, length: int, gram: int, keep: list[str]) -> DataFrame:
-    cuts = table(repeated_ranges(docs, length, gram), "suffix-cuts")
-    texts = docs.select(*_row(docs), F.coalesce("text", F.lit("")).cast("binary").alias("_text"), *keep)
-    return texts.join(cuts, ["dk", "ver"], "left").drop("dk", "ver")
+    """The columns ``keep``, and under names of their own the text's bytes, whether it is null, and its cuts."""
+    own = ["__text", "__null", "__cuts"]
+    cuts = table(repeated_ranges(docs, length, gram), "suffix-cuts").toDF("__dk", "__ver", "__cuts")
+    dk, ver = _row(docs)
+    texts = docs.select(dk.alias("__dk"), ver.alias("__ver"), F.coalesce("text", F.lit("")).cast("binary").alias("__text"), F.col("text").isNull().alias("__null"), *keep)
+    return texts.join(cuts, ["__dk", "__ver"], "left").select(*own, *keep)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -181,14 +180,13 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, cuts in zip(batch.column("_text"), batch.column("cuts")):
+            for text, cuts in zip(batch.column("__text"), batch.column("__cuts")):
                 text, spans = text.as_buffer().to_pybytes(), merged(cuts.as_py())
                 for column, value in zip(out, (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_left(text, spans)).hexdigest())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _marked(docs, length, gram, ["doc_id"]).select("doc_id", "_text", "cuts")
-    return marked.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _marked(docs, length, gram, ["doc_id"]).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -200,10 +198,10 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [None if null.as_py() else _left(t.as_buffer().to_pybytes(), merged(cuts.as_py())).decode("utf-8", "ignore") for t, cuts, null in zip(batch.column("_text"), batch.column("cuts"), batch.column("_null"))]
+            texts = [None if null.as_py() else _left(t.as_buffer().to_pybytes(), merged(cuts.as_py())).decode("utf-8", "ignore") for t, cuts, null in zip(batch.column("__text"), batch.column("__cuts"), batch.column("__null"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, "text"])
 
-    marked = _marked(docs.withColumn("_null", F.col("text").isNull()), length, gram, [*rest, "_null"])
+    marked = _marked(docs, length, gram, rest)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", text string"
     return marked.mapInArrow(run, schema).select(*docs.columns)
 
