@@ -26,14 +26,14 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
     g = g.add_nodes("Message", talk.select("m_id", "conv_id", "turn", "role", "text"), "m_id")
     docs = t["documents"].select("doc_id", "lang", "source", "n_chars").join(t["labels"].select(F.col("doc_id").alias("l_doc"), "quality", "toxic"), F.col("doc_id") == F.col("l_doc"), "left").drop("l_doc")
     g = g.add_nodes("Document", docs, "doc_id")
-    g = g.add_edges("IN_REGION", t["nation"], ("Nation", "n_nationkey"), ("Region", "n_regionkey"), key="n_nationkey")
-    g = g.add_edges("FROM", t["customer"], ("Customer", "c_custkey"), ("Nation", "c_nationkey"), key="c_custkey")
-    g = g.add_edges("FROM", t["supplier"], ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), key="s_suppkey")
-    g = g.add_edges("PLACED", t["orders"], ("Customer", "o_custkey"), ("Order", "o_orderkey"), key="o_orderkey")
+    g = g.add_edges("IN_REGION", t["nation"], ("Nation", "n_nationkey"), ("Region", "n_regionkey"), key="n_nationkey", holds="_src")
+    g = g.add_edges("FROM", t["customer"], ("Customer", "c_custkey"), ("Nation", "c_nationkey"), key="c_custkey", holds="_src")
+    g = g.add_edges("FROM", t["supplier"], ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), key="s_suppkey", holds="_src")
+    g = g.add_edges("PLACED", t["orders"], ("Customer", "o_custkey"), ("Order", "o_orderkey"), key="o_orderkey", holds="_dst")
     line = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     g = g.add_edges("CONTAINS", t["lineitem"], ("Order", "l_orderkey"), ("Part", "l_partkey"), line)
     g = g.add_edges("SHIPPED_BY", t["lineitem"], ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), line)
-    g = g.add_edges("DID", t["events"], ("User", "user_id"), ("Event", "event_id"), key="event_id")
+    g = g.add_edges("DID", t["events"], ("User", "user_id"), ("Event", "event_id"), key="event_id", holds="_dst")
     nxt = talk.select("m_id", "m_next").join(talk.select(F.col("m_id").alias("to")), F.col("m_next") == F.col("to"))
     g = g.add_edges("NEXT", nxt, ("Message", "m_id"), ("Message", "m_next"), key="m_id")
     refer = t["customer"].select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 101 + 1).alias("b")).where("a <= 101")

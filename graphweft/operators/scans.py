@@ -46,10 +46,26 @@ def nodes(graph: Graph, labels, prefix: str, wanted, kinds=None) -> tuple[DataFr
     return _union(made), types, list(dict.fromkeys(t.labels for t in tables))
 
 
-def edges(graph: Graph, types, direction: str, prefix: str, wanted, near=None, far=(), near_labels=()) -> tuple[DataFrame, dict, list]:
+def holding(graph: Graph, types, direction: str, near, far_labels=(), near_labels=()):
+    """The one edge table that a step can use and the label set of its far end, if its rows hold the far nodes whole; else None."""
+    found = []
+    for t in graph.edges:
+        if types and t.type not in types:
+            continue
+        for flip in {"out": (False,), "in": (True,), "both": (False, True)}[direction]:
+            a, b = (t.dst, t.src) if flip else (t.src, t.dst)
+            if (near is None or a is None or a in near) and (a is None or set(near_labels) <= a) and (b is None or set(far_labels) <= b):
+                found.append((t, b, "_src" if flip else "_dst"))
+    if len(found) == 1 and found[0][0].holds == found[0][2]:
+        return found[0][0], found[0][1]
+    return None
+
+
+def edges(graph: Graph, types, direction: str, prefix: str, wanted, near=None, far=(), near_labels=(), held=()) -> tuple[DataFrame, dict, list]:
     """Edges of any of ``types`` with ends _a (near) and _b (far) as walked; an undirected walk sees a loop once.
 
     ``near``: label sets that the near end can have; ``far``: labels that the far end needs. Tables that can't fit are left out.
+    ``held``: properties of the far nodes to bring along, where ``holding`` says that they are there.
     Returns the frame, the properties' types and the far ends' label sets (None: unknown).
     """
 
@@ -67,7 +83,7 @@ def edges(graph: Graph, types, direction: str, prefix: str, wanted, near=None, f
             ends.append(t.src if flip else t.dst)
             part = t.df.where("_src <> _dst") if direction == "both" and flip else t.df
             a, b = ("_dst", "_src") if flip else ("_src", "_dst")
-            made.append(part.select(*(F.col(c).alias(f"{prefix}{SEP}{n}") for c, n in (("_id", "_id"), ("_src", "_src"), ("_dst", "_dst"), (a, "_a"), (b, "_b"))), F.lit(t.type).alias(f"{prefix}{SEP}_type"), *_columns(t, kinds, prefix)))
+            made.append(part.select(*(F.col(c).alias(f"{prefix}{SEP}{n}") for c, n in (("_id", "_id"), ("_src", "_src"), ("_dst", "_dst"), (a, "_a"), (b, "_b"))), F.lit(t.type).alias(f"{prefix}{SEP}_type"), *_columns(t, kinds, prefix), *(F.col(f"`@{n}`").alias(f"{prefix}{SEP}@{n}") for n in held)))
     if not made:
         id_ = F.col("id")
         return graph.spark.range(0).select(*(id_.alias(f"{prefix}{SEP}{n}") for n in ("_id", "_src", "_dst", "_a", "_b")), F.lit("").alias(f"{prefix}{SEP}_type")), {}, []

@@ -453,7 +453,7 @@ class Planner:
 
     def _part(self, part: Part, rels: list) -> None:
         bound = [k for k, n in enumerate(part.nodes) if n.var in self.rows.scope]
-        start = bound[0] if bound else max(range(len(part.nodes)), key=lambda k: (bool(part.nodes[k].props), bool(part.nodes[k].labels), -k))
+        start = bound[0] if bound else max(range(len(part.nodes)), key=lambda k: (bool(part.nodes[k].props), self._held_steps(part, k), bool(part.nodes[k].labels), -k))
         p = part.nodes[start]
         if p.var in self.rows.scope:
             self._bound_node(p)
@@ -473,6 +473,15 @@ class Planner:
                 raise QueryError("VariableAlreadyBound", part.var)
             self.rows.scope[part.var] = self.add(self._path(part, pieces, start), "p")
 
+    def _held_steps(self, part: Part, start: int) -> int:
+        """Steps away from ``start`` whose edge rows are the nodes that they lead to."""
+        n = 0
+        for k, r in enumerate(part.rels):
+            a, b = (part.nodes[k], part.nodes[k + 1]) if k >= start else (part.nodes[k + 1], part.nodes[k])
+            direction = r.direction if k >= start else {"out": "in", "in": "out"}.get(r.direction, r.direction)
+            n += r.hops is None and b.var not in self.rows.scope and scans.holding(self.graph, r.types, direction, None, b.labels, a.labels) is not None
+        return n
+
     def _bound_node(self, p: NodePattern) -> None:
         var = self.rows.scope[p.var]
         if L.kind(var.type) != "node":
@@ -509,7 +518,10 @@ class Planner:
         if r.var in self.rows.scope and r.var not in {x for x, *_ in rels}:
             return self._bound_rel(here, r, b, direction)
         prefix = self.fresh("r")
-        df, types, ends = scans.edges(self.graph, r.types, direction, prefix, self.wants(r.var), here.kinds, b.labels, a.labels)
+        whole_rows = scans.holding(self.graph, r.types, direction, here.kinds, b.labels, a.labels) if target is None else None
+        wanted = self.wants(b.var)
+        held = [(n, t) for n, t in whole_rows[0].held if wanted is None or n in wanted] if whole_rows else []
+        df, types, ends = scans.edges(self.graph, r.types, direction, prefix, self.wants(r.var), here.kinds, b.labels, a.labels, [n for n, _ in held])
         on = self.at(here, "_id") == F.col(f"{prefix}{SEP}_a")
         if target is not None:
             if not target.flat:
@@ -520,7 +532,14 @@ class Planner:
         self.rows.scope[r.var] = Var(prefix, ("rel", tuple(types.items())), True)
         rels.append((f"{prefix}{SEP}_id", False, frozenset(r.types or self.graph.types())))
         self._inline(r)
-        self._arrive(b, f"{prefix}{SEP}_b", ends)
+        if whole_rows:
+            node = self.fresh("n")
+            labels = F.array(*(F.lit(x) for x in sorted(whole_rows[1]))).cast("array<string>")
+            self.rows.df = self.rows.df.withColumns({f"{node}{SEP}_id": F.col(f"{prefix}{SEP}_b"), f"{node}{SEP}_labels": labels, **{f"{node}{SEP}{n}": F.col(f"`{prefix}{SEP}@{n}`") for n, _ in held}})
+            self.rows.scope[b.var] = Var(node, ("node", tuple(held)), True, (whole_rows[1],))
+            self._inline(b)
+        else:
+            self._arrive(b, f"{prefix}{SEP}_b", ends)
         return ("one", r.var)
 
     def _bound_rel(self, here: Var, r: RelPattern, b: NodePattern, direction: str) -> tuple:
@@ -728,7 +747,7 @@ class Planner:
         return tuple(self._renamed(x, known) if isinstance(x, tuple) else x for x in e) if isinstance(e, tuple) else e
 
     def _columns(self, var: Var) -> list[str]:
-        return [c for c in self.rows.df.columns if (c.startswith(var.column + SEP) and c.split(SEP)[-1] not in ("_a", "_b") if var.flat else c == var.column)]
+        return [c for c in self.rows.df.columns if (c.startswith(var.column + SEP) and c.split(SEP)[-1] not in ("_a", "_b") and not c.split(SEP)[-1].startswith("@") if var.flat else c == var.column)]
 
     def _select(self, made: dict[str, Var], keep=()) -> None:
         columns = dict.fromkeys([*keep, *(c for v in made.values() for c in self._columns(v))])

@@ -20,6 +20,7 @@ def _settle(p: Planner) -> None:
     if p.rows.unit:
         p.rows.df, p.rows.unit = p.graph.spark.createDataFrame([(0,)], "_unit long"), False
     p.rows.df = cut(p.rows.df)
+    p.graph = p.graph.without_held()
 
 
 def _new_ids(p: Planner, kind: str) -> Column:

@@ -64,6 +64,8 @@ class EdgeTable:
     props: tuple
     src: frozenset | None  # labels of either end; None: any
     dst: frozenset | None
+    holds: str | None = None  # "_src" or "_dst": each row is also the whole node at that end, its properties named @name
+    held: tuple = ()  # that node's (name, type)
 
 
 def _props(df: DataFrame, hidden: tuple[str, ...]) -> tuple:
@@ -93,18 +95,33 @@ class Graph:
         made = df.select((F.lit(g.ordinal("node", label) << ID_BITS) + F.col(key)).cast("bigint").alias("_id"), *(stored(F.col(c), df.schema[c].dataType).alias(n) for c, n in names.items()))
         return replace(g, nodes=(*g.nodes, NodeTable(frozenset([label]), made, _props(made, ("_id",)))))
 
-    def add_edges(self, type_: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: tuple[str, ...] = (), key: str | None = None) -> Graph:
-        """With the rows of ``df`` as edges; ``src`` and ``dst`` are (label, key column). Without ``key``, ids are hashes of the whole row."""
+    def add_edges(self, type_: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: tuple[str, ...] = (), key: str | None = None, holds: str | None = None) -> Graph:
+        """With the rows of ``df`` as edges; ``src`` and ``dst`` are (label, key column). Without ``key``, ids are hashes of the whole row.
+
+        ``holds`` ("_src" or "_dst") says that ``df`` is the very table of that end's nodes (a foreign key in it is the edge), so a
+        walk to that end needs no join with its nodes.
+        """
         g = self._known("node", src[0])._known("node", dst[0])._known("edge", type_)
         at = sum(1 for e in g.edges if e.type == type_)
+        ends = {"_src": src, "_dst": dst}
+        owner = next((t for t in g.nodes for e in (holds,) if e and t.labels == frozenset([ends[e][0]])), None)
+        whole = [c for c in df.columns if c in {n for n, _ in owner.props}] if owner else []
         low = F.col(key).cast("bigint") if key else F.xxhash64(*df.columns).bitwiseAND((1 << ID_BITS - 4) - 1)
         made = df.select(
             (F.lit((g.ordinal("edge", type_) << ID_BITS) + (at << ID_BITS - 4)) + low).alias("_id"),
             (F.lit(g.ordinal("node", src[0]) << ID_BITS) + F.col(src[1])).cast("bigint").alias("_src"),
             (F.lit(g.ordinal("node", dst[0]) << ID_BITS) + F.col(dst[1])).cast("bigint").alias("_dst"),
             *(stored(F.col(c), df.schema[c].dataType).alias(c) for c in props),
+            *(stored(F.col(c), df.schema[c].dataType).alias(f"@{c}") for c in whole),
         )
-        return replace(g, edges=(*g.edges, EdgeTable(type_, made, _props(made, ("_id", "_src", "_dst")), frozenset([src[0]]), frozenset([dst[0]]))))
+        edge = EdgeTable(type_, made, tuple(p for p in _props(made, ("_id", "_src", "_dst")) if p[0][0] != "@"), frozenset([src[0]]), frozenset([dst[0]]))
+        if owner and len(whole) == len(owner.props):
+            edge = replace(edge, holds=holds, held=owner.props)
+        return replace(g, edges=(*g.edges, edge))
+
+    def without_held(self) -> Graph:
+        """Where nodes or edges are about to change, rows that are both no longer stand for each other."""
+        return replace(self, edges=tuple(replace(e, df=e.df.select("_id", "_src", "_dst", *(n for n, _ in e.props)), holds=None, held=()) if e.holds else e for e in self.edges))
 
     def labels(self) -> list[str]:
         return sorted({x for t in self.nodes for x in t.labels})
