@@ -117,6 +117,21 @@ CASES: dict[str, tuple[str, str | None]] = {
     "proc_labels": ("CALL db.labels()", "SELECT unnest(['Customer', 'Document', 'Event', 'Message', 'Nation', 'Order', 'Part', 'Region', 'Supplier', 'User']) AS label"),
     "proc_types": ("CALL db.relationshipTypes()", "SELECT unnest(['CONTAINS', 'DID', 'FROM', 'IN_REGION', 'NEXT', 'PLACED', 'REFERRED', 'SHIPPED_BY']) AS \"relationshipType\""),
     "proc_property_keys": ("CALL db.propertyKeys() YIELD propertyKey RETURN count(*) > 20 AS ok", "SELECT true AS ok"),
+    "map_ops": ("UNWIND range(1, 3) AS i WITH i, {a: i, b: 'x', c: null} AS m RETURN i, m.a AS a, m['b'] AS b, size(keys(m)) AS k, m.c IS NULL AS n", "SELECT i, i AS a, 'x' AS b, 2::BIGINT AS k, true AS n FROM range(1, 4) t(i)"),
+    "list_compare": ("UNWIND range(0, 3) AS i RETURN i, [1, i] < [1, 2] AS a, [i] = [1] AS b, i IN [] AS c, [1, 2] + i = [1, 2, 3] AS d", "SELECT i, i < 2 AS a, i = 1 AS b, false AS c, i = 3 AS d FROM range(0, 4) t(i)"),
+    "agg_sum_distinct": ("MATCH (p:Part) RETURN p.p_brand AS b, sum(DISTINCT p.p_size) AS s, count(p) AS n", "SELECT p_brand AS b, sum(DISTINCT p_size)::BIGINT AS s, count(*) AS n FROM part GROUP BY 1"),
+    "epoch_fns": ("UNWIND range(0, 5) AS i WITH datetime.fromepoch(i * 86400 * 100) AS d, i RETURN i, d.year AS y, d.ordinalDay AS n, d.epochSeconds AS e", "SELECT i, year(epoch_ms(i * 8640000000)) AS y, dayofyear(epoch_ms(i * 8640000000)) AS n, i * 8640000 AS e FROM range(0, 6) t(i)"),
+    "duration_math": ("UNWIND range(1, 4) AS i RETURN i, toString(duration({hours: i}) * 2 + duration('P1D')) AS d, duration('P1Y2M').months AS m", "SELECT i, 'P1DT' || (2 * i) || 'H' AS d, 14::BIGINT AS m FROM range(1, 5) t(i)"),
+    "date_forms": ("RETURN toString(date({year: 2015, week: 1})) AS a, toString(date('2015-W30-2')) AS b, toString(date({year: 1984, ordinalDay: 202})) AS c, toString(date({year: 1984, quarter: 3, dayOfQuarter: 45})) AS d", "SELECT '2014-12-29' AS a, '2015-07-21' AS b, '1984-07-20' AS c, '1984-08-14' AS d"),
+    "varlen_rel_list": ("MATCH (m:Message)-[e:NEXT*2]->(k:Message) RETURN m.conv_id AS c, m.turn AS t, size(e) AS n", WALK.format(most=2) + " SELECT a // 1000 AS c, a % 1000 AS t, n::BIGINT AS n FROM w WHERE n = 2"),
+    "varlen_in": ("MATCH (k:Message)<-[:NEXT*1..2]-(m:Message) RETURN k.conv_id AS c, k.turn AS t, m.turn AS u", WALK.format(most=2) + " SELECT b // 1000 AS c, b % 1000 AS t, a % 1000 AS u FROM w"),
+    "optional_chain": ("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:FROM]-(s:Supplier) WHERE s.s_acctbal < 0 OPTIONAL MATCH (s)<-[:SHIPPED_BY]-(o:Order) RETURN n.n_name AS n, count(DISTINCT s) AS s, count(o) AS o", f"SELECT n_name AS n, count(DISTINCT s_suppkey) AS s, count(l_orderkey) AS o FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 0 LEFT JOIN ({LINES}) ON l_suppkey = s_suppkey GROUP BY 1"),
+    "exists_in_return": ("MATCH (c:Customer) RETURN c.c_custkey AS c, EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.o_orderstatus = 'P' } AS e", "SELECT c_custkey AS c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS e FROM customer"),
+    "with_order_limit": ("MATCH (o:Order) WITH o ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 5 MATCH (o)<-[:PLACED]-(c:Customer) RETURN o.o_orderkey AS k, c.c_name AS n", "SELECT o_orderkey AS k, c_name AS n FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) JOIN customer ON c_custkey = o_custkey"),
+    "with_distinct_where": ("MATCH (o:Order) WITH DISTINCT o.o_orderstatus AS s, o.o_orderpriority AS p WHERE s <> 'F' RETURN s, count(*) AS n", "SELECT s, count(*) AS n FROM (SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders) WHERE s <> 'F' GROUP BY 1"),
+    "nested_collect": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, collect(n.n_nationkey) AS ks RETURN r.r_name AS r, size([k IN ks WHERE k % 2 = 0]) AS even, any(k IN ks WHERE k = 7) AS seven", "SELECT r_name AS r, count(*) FILTER (n_nationkey % 2 = 0) AS even, bool_or(n_nationkey = 7) AS seven FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
+    "show_databases": ("SHOW DATABASES", "SELECT 'default' AS name, true AS current"),
+    "show_indexes": ("SHOW INDEXES", "SELECT '' AS name, '' AS label, '' AS property, true AS \"unique\", '' AS state WHERE false"),
     "explain": ("EXPLAIN MATCH (c:Customer) RETURN count(*) AS n", None),
 }
 
@@ -131,6 +146,8 @@ UPDATES: dict[str, tuple[list[str], str, str]] = {
     "detach_delete": (["MATCH (n:Nation) WHERE n.n_nationkey < 5 DETACH DELETE n"], "MATCH (c:Customer) OPTIONAL MATCH (c)-[:FROM]->(n:Nation) RETURN count(c) AS c, count(n) AS n", "SELECT count(*) AS c, count(CASE WHEN c_nationkey >= 5 THEN 1 END) AS n FROM customer"),
     "merge_node": (["MATCH (c:Customer) MERGE (s:Segment {name: c.c_mktsegment}) ON CREATE SET s.fresh = true"], "MATCH (s:Segment) RETURN s.name AS n, s.fresh AS f", "SELECT DISTINCT c_mktsegment AS n, true AS f FROM customer"),
     "merge_edge": (["MATCH (c:Customer)-[:FROM]->(n:Nation)-[:IN_REGION]->(r:Region) MERGE (n)-[:SELLS]->(r)"], "MATCH (n:Nation)-[:SELLS]->(r:Region) RETURN n.n_name AS n, r.r_name AS r", "SELECT DISTINCT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey"),
+    "merge_on_match": (["UNWIND [1, 2] AS i CREATE (:K {i: i})", "UNWIND [1, 2, 3] AS i MERGE (k:K {i: i}) ON CREATE SET k.c = 1 ON MATCH SET k.m = 2"], "MATCH (k:K) RETURN k.i AS i, k.c AS c, k.m AS m", "SELECT * FROM (VALUES (1::BIGINT, NULL::BIGINT, 2::BIGINT), (2, NULL, 2), (3, 1, NULL)) v(i, c, m)"),
+    "remove_label": (["MATCH (s:Supplier) WHERE s.s_suppkey <= 5 REMOVE s:Supplier"], "MATCH (s:Supplier) RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier WHERE s_suppkey > 5"),
     "create_index": ([], "CREATE UNIQUE INDEX by_key FOR (c:Customer) ON (c.c_custkey)", "SELECT 'by_key' AS name, 'Customer' AS label, 'c_custkey' AS property, true AS \"unique\", 'PUBLIC' AS state"),
 }
 

@@ -18,11 +18,20 @@ UNITS = {"year": "year", "quarter": "quarter", "month": "month", "week": "week",
 SPANS = {"millennium": 1000, "century": 100, "decade": 10}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def named(**parts) -> Column:
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+
 def make_duration(months, days, seconds, nanos=0) -> Column:
-    """Parts as columns or numbers; seconds take what nanoseconds carry."""
-    months, days, seconds, nanos = (F.lit(p) if not isinstance(p, Column) else p for p in (months, days, seconds, nanos))
-    made = F.struct(*(p.cast("bigint").alias(n) for p, n in zip((months, days, seconds, nanos), PARTS)))
-    return F.when(months.isNotNull() & days.isNotNull() & seconds.isNotNull() & nanos.isNotNull(), made)
+    """Parts as columns or numbers; null if one of them is."""
+    parts = [F.lit(p) if not isinstance(p, Column) else p for p in (months, days, seconds, nanos)]
+    made = F.struct(*(p.cast("bigint").alias(n) for p, n in zip(parts, PARTS)))
+    return let(made, lambda d: F.when(d["months"].isNotNull() & d["days"].isNotNull() & d["seconds"].isNotNull() & d["nanos"].isNotNull(), d))
 
 
 def _micros(t: Column) -> Column:
@@ -35,37 +44,43 @@ def _from_micros(m: Column) -> Column:
 
 def shift(value, d: Column, sign: int) -> tuple[Column, str]:
     """A date or date-time moved by a duration: months first (held to the month's end), then days, then time."""
-    x, t = value
+    t = value[1]
     if t == "date":
-        return F.date_add(F.add_months(x, (sign * d["months"]).cast("int")), (sign * (d["days"] + F.call_function("div", d["seconds"], F.lit(DAY).cast("bigint")))).cast("int")), "date"
-    day = F.add_months(x.cast("date"), (sign * d["months"]).cast("int"))
-    rest = _micros(x) - _micros(x.cast("date").cast("timestamp_ntz"))
-    moved = _micros(F.date_add(day, (sign * d["days"]).cast("int")).cast("timestamp_ntz")) + rest + sign * (d["seconds"] * 1_000_000 + F.call_function("div", d["nanos"], F.lit(1000).cast("bigint")))
-    return _from_micros(moved), "localdatetime"
+        moved = lambda p: F.date_add(F.add_months(p["x"], (sign * p["d"]["months"]).cast("int")), (sign * (p["d"]["days"] + F.call_function("div", p["d"]["seconds"], F.lit(DAY).cast("bigint")))).cast("int"))
+        return let(named(x=value[0], d=d), moved), "date"
+
+    def moved_time(p):
+        x, by = p["x"], p["d"]
+        day = F.date_add(F.add_months(x.cast("date"), (sign * by["months"]).cast("int")), (sign * by["days"]).cast("int"))
+        rest = _micros(x) - _micros(x.cast("date").cast("timestamp_ntz"))
+        return _from_micros(_micros(day.cast("timestamp_ntz")) + rest + sign * (by["seconds"] * 1_000_000 + F.call_function("div", by["nanos"], F.lit(1000).cast("bigint"))))
+
+    return let(named(x=value[0], d=d), moved_time), "localdatetime"
 
 
 def arithmetic(op: str, a, b) -> tuple[Column, str]:
     (x, s), (y, t) = a, b
     if s == t == "duration" and op in "+-":
         k = 1 if op == "+" else -1
-        return make_duration(*(x[p] + k * y[p] for p in PARTS)), "duration"
+        return let(named(x=x, y=y), lambda p: make_duration(*(p["x"][n] + k * p["y"][n] for n in PARTS))), "duration"
     if s in ("date", "localdatetime") and t == "duration" and op in "+-":
         return shift(a, y, 1 if op == "+" else -1)
     if s == "duration" and t in ("date", "localdatetime") and op == "+":
         return shift(b, x, 1)
     if op in "*/" and {s, t} <= {"duration", "int", "float"}:
         d, n = (x, y) if s == "duration" else (y, x)
-        return _fractions(*(d[p].cast("double") * n if op == "*" else d[p].cast("double") / n for p in PARTS)), "duration"
+        return let(named(d=d, n=n), lambda p: _fractions(*(p["d"][k].cast("double") * p["n"] if op == "*" else p["d"][k].cast("double") / p["n"] for k in PARTS))), "duration"
     return F.lit(None).cast("timestamp_ntz"), "localdatetime"
 
 
 def _fractions(months, days, seconds, nanos=None) -> Column:
     """Whole parts, with fractions of a month passed on to days and of a day to seconds."""
     whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("bigint")
-    days = days + (months - whole(months)) * MONTH_DAYS
-    seconds = seconds + (days - whole(days)) * DAY
-    nano = F.round((seconds - whole(seconds)) * 1e9) + (nanos if nanos is not None else 0)
-    return make_duration(whole(months), whole(days), whole(seconds), nano)
+    given = named(m=months, d=days, s=seconds, n=nanos if nanos is not None else F.lit(0.0))
+    by_day = lambda p: named(m=whole(p["m"]), d=p["d"] + (p["m"] - whole(p["m"])) * MONTH_DAYS, s=p["s"], n=p["n"])
+    by_second = lambda p: named(m=p["m"], d=whole(p["d"]), s=p["s"] + (p["d"] - whole(p["d"])) * DAY, n=p["n"])
+    made = lambda p: make_duration(p["m"], p["d"], whole(p["s"]), F.round((p["s"] - whole(p["s"])) * 1e9) + p["n"])
+    return let(let(let(given, by_day), by_second), made)
 
 
 def parse_duration(s: Column) -> Column:
@@ -77,6 +92,10 @@ def parse_duration(s: Column) -> Column:
 
 
 def duration_text(d: Column) -> Column:
+    return let(d, _duration_text)
+
+
+def _duration_text(d: Column) -> Column:
     part = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
     div = lambda a, n: F.call_function("div", a, F.lit(n).cast("bigint"))
     months, seconds = d["months"], d["seconds"]
@@ -168,15 +187,22 @@ def _week_year(x) -> Column:
 
 def between(a, b) -> Column:
     """Whole months, then days, then seconds from the first to the second."""
-    x, y = (v[0].cast("timestamp_ntz") for v in (a, b))
-    months = (F.year(y) * 12 + F.month(y) - F.year(x) * 12 - F.month(x)).cast("bigint")
-    there = shift((x, "localdatetime"), make_duration(months, F.lit(0), F.lit(0)), 1)[0]
-    months = months - F.when((there > y) & (months > 0), 1).when((there < y) & (months < 0), -1).otherwise(0)
-    there = shift((x, "localdatetime"), make_duration(months, F.lit(0), F.lit(0)), 1)[0]
-    micros = _micros(y) - _micros(there)
+    given = named(x=a[0].cast("timestamp_ntz"), y=b[0].cast("timestamp_ntz"))
     div = lambda c, n: F.call_function("div", c, F.lit(n).cast("bigint"))
-    rest = micros % (DAY * 1_000_000)
-    return make_duration(months, div(micros, DAY * 1_000_000), div(rest, 1_000_000), (rest % 1_000_000) * 1000)
+    after = lambda p: shift((p["x"], "localdatetime"), make_duration(p["m"], 0, 0), 1)[0]
+
+    def months(p):
+        m = (F.year(p["y"]) * 12 + F.month(p["y"]) - F.year(p["x"]) * 12 - F.month(p["x"])).cast("bigint")
+        return named(x=p["x"], y=p["y"], m=m)
+
+    def held(p):
+        m = p["m"] - F.when((p["t"] > p["y"]) & (p["m"] > 0), 1).when((p["t"] < p["y"]) & (p["m"] < 0), -1).otherwise(0)
+        return named(x=p["x"], y=p["y"], m=m)
+
+    with_after = lambda p: named(x=p["x"], y=p["y"], m=p["m"], t=after(p))
+    rest = lambda p: named(m=p["m"], r=_micros(p["y"]) - _micros(after(p)))
+    made = lambda p: make_duration(p["m"], div(p["r"], DAY * 1_000_000), div(p["r"] % (DAY * 1_000_000), 1_000_000), (p["r"] % 1_000_000) * 1000)
+    return let(let(let(let(let(given, months), with_after), held), rest), made)
 
 
 def call(name: str, args: list) -> tuple[Column, str]:

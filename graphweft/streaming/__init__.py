@@ -1 +1 @@
-
+"""Streaming operators: the query language has none, so there is nothing here."""
