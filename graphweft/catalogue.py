@@ -152,8 +152,15 @@ UPDATES: dict[str, tuple[list[str], str, str]] = {
 }
 
 
+#: Declared graphs by application and folder: files are listed and schemas read once.
+_declared: dict[tuple[str, str], Graph] = {}
+
+
 def _session(spark: SparkSession, d: str) -> GraphSession:
-    session = GraphSession(spark, star_graph(spark, d))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _declared:
+        _declared[key] = star_graph(spark, d)
+    session = GraphSession(spark, _declared[key])
     # means of doubles depend on the order of addition; comparisons use four places
     session.register_function("round_", lambda v: (F.round(v[0], 4), "float"))
     return session
