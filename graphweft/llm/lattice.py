@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import connected_components, cut, partitions, table
+from graphweft.llm.common import connected_components, cut, deal, partitions, runs, table
 
 COSINE = 0.98
 #: Tables, E8 points in a cell's name, neighbouring cells visited, coordinates' scale at which a link is short.
@@ -123,8 +123,7 @@ def _meet(rows: DataFrame, classes: DataFrame, tables: int, cosine: float) -> Da
             i, j = np.nonzero(u[k : k + 512] @ u[at_home].T >= cosine)  # vectors of one cell have one length
             i, j = i + k, at_home[j]
             ok = (cid[i] != cid[j]) & (label[i] == label[j]) & ((cid[i] < cid[j]) | ~home[i])
-            if side is not None:  # of a block pair, only pairs across it; of a block with itself, all
-                ok &= (side[i] != side[j]) | ((side[i] == 2) & (side[j] == 2))
+            ok &= (side[i] != side[j]) | ((side[i] == 2) & (side[j] == 2))  # of two parts only pairs across, of one all
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
@@ -156,35 +155,18 @@ def _meet(rows: DataFrame, classes: DataFrame, tables: int, cosine: float) -> Da
         out[2].append(n[seen])
 
     def run(batches):
-        left = None
-        for batch in itertools.chain(batches, [None]):
-            both = ([left] if left is not None else []) + ([batch] if batch is not None else [])
-            if not both:
-                return
-            have = pa.Table.from_batches(both).combine_chunks()
-            key = np.stack([have.column("cell").to_numpy(), have.column("pair").to_numpy()], axis=1)
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            stop = len(have) if batch is None else (int(edges[-1]) if len(edges) else 0)
+        for have, bounds in runs(batches, ["cell", "pair"]):
+            cols = {c: have.column(c).to_numpy() for c in ("t", "home", "cid", "m", "label_key", "side")} | {"v": have.column("v")}
             out: list[list] = [[], [], []]
-            if stop:
-                cols = {c: have.column(c).to_numpy() for c in ("t", "home", "cid", "m", "label_key", "side")} | {"v": have.column("v")}
-                bounds = np.concatenate([[0], edges[edges < stop], [stop]])
-                for k in np.flatnonzero(np.diff(bounds) > 1):
-                    group(cols, int(bounds[k]), int(bounds[k + 1]), out)
-            rest = have.slice(stop).combine_chunks().to_batches()
-            left = rest[0] if rest else None
+            for k in np.flatnonzero(np.diff(bounds) > 1):
+                group(cols, int(bounds[k]), int(bounds[k + 1]), out)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["a", "b", "n"])
 
     met = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("lived")).where("rows > 1 and lived")
     rows = table(rows.join(met.select("cell"), "cell", "left_semi"), "lattice-met").join(classes.select("cid", "k1", "m", "label_key", "v"), ["cid", "k1"])
-    sizes = met.where(f"rows > {CELL_ROWS}")
-    sizes = cut(sizes.select("cell", F.ceil(F.col("rows") * 2 / CELL_ROWS).cast("int").alias("parts")))
-    dealt = rows.join(sizes, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct((F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part"))).alias("pair"), F.when(k == F.col("part"), 2).when(k > F.col("part"), 0).otherwise(1).alias("side")))
-    dealt = dealt.withColumn("o", F.explode(others)).select("cell", F.col("o.pair").alias("pair"), F.col("o.side").alias("side"), "t", "home", "cid", "m", "label_key", "v")
-    tasks = partitions(rows.sparkSession)
-    return dealt.repartition(tasks, "cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(run, "a long, b long, n long")
+    dealt = deal(rows, "cell", "cid", CELL_ROWS).select("cell", "pair", "side", "t", "home", "cid", "m", "label_key", "v")
+    return dealt.repartition(partitions(rows.sparkSession), "cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
