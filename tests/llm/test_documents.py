@@ -210,6 +210,25 @@ def test_passages(spark):
     assert not clean & {d for r in got for d in (r.doc_id, r.other_doc_id)}
 
 
+def test_ranges_are_trimmed_to_what_they_share():
+    """Windows overhang on both sides; a passage with a changed, an added and a missing item is cut out of them."""
+    rng = np.random.default_rng(7)
+    own = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    same = own(60)
+    lines = list(range(-16, 17))
+    for other, ends in ((same, (60, 60)), (np.concatenate([same[:30], own(1), same[31:]]), (60, 60)), (np.concatenate([same[:30], own(1), same[30:]]), (60, 61)), (np.delete(same, 30), (60, 59))):
+        x, y = np.concatenate([own(25), same, own(40)]), np.concatenate([own(25), other, own(40)])
+        assert [r[:4] for r in windows.aligned(x, y, lines, 46, 80)] == [(25, 24 + ends[0], 25, 24 + ends[1])]
+    # two passages too far apart to be one, and one that is too short
+    x, y = (np.concatenate([same, own(40), same[::-1], own(9), own(9)]) for _ in range(2))
+    assert [r[:2] for r in windows.aligned(x, y, lines, 46, 80)] == [(0, 59), (100, 159)]
+    assert not windows.aligned(np.concatenate([own(25), same[:40], own(40)]), np.concatenate([own(25), same[:40], own(40)]), lines, 46, 80)
+    # the ends of a passage may be what differs
+    x, y = (np.concatenate([own(30), same[:44], own(30)]) for _ in range(2))
+    (found,) = windows.aligned(x, y, lines, 46, 80)
+    assert found[1] - found[0] == 45 and found[4] == pytest.approx(44 / 48)
+
+
 def test_empty_tables(spark):
     df = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     assert df.schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
