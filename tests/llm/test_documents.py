@@ -215,20 +215,49 @@ def test_ranges_are_trimmed_to_what_they_share():
     rng = np.random.default_rng(7)
     own = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
     same = own(60)
-    lines = list(range(-16, 17))
     for other, ends in ((same, (60, 60)), (np.concatenate([same[:30], own(1), same[31:]]), (60, 60)), (np.concatenate([same[:30], own(1), same[30:]]), (60, 61)), (np.delete(same, 30), (60, 59))):
         x, y = np.concatenate([own(25), same, own(40)]), np.concatenate([own(25), other, own(40)])
-        assert [r[:4] for r in windows.aligned(x, y, lines, 46, 80)] == [(25, 24 + ends[0], 25, 24 + ends[1])]
+        assert [r[:4] for r in windows.aligned(x, y, -16, 16, 46, 80)] == [(25, 24 + ends[0], 25, 24 + ends[1])]
     # two passages too far apart to be one, and one that is too short
     x, y = (np.concatenate([same, own(40), same[::-1], own(9), own(9)]) for _ in range(2))
-    assert [r[:2] for r in windows.aligned(x, y, lines, 46, 80)] == [(0, 59), (100, 159)]
-    assert not windows.aligned(np.concatenate([own(25), same[:40], own(40)]), np.concatenate([own(25), same[:40], own(40)]), lines, 46, 80)
+    assert [r[:2] for r in windows.aligned(x, y, -16, 16, 46, 80)] == [(0, 59), (100, 159)]
+    assert not windows.aligned(np.concatenate([own(25), same[:40], own(40)]), np.concatenate([own(25), same[:40], own(40)]), -16, 16, 46, 80)
     # the ends of a passage may be what differs
     x, y = (np.concatenate([own(30), same[:44], own(30)]) for _ in range(2))
-    (found,) = windows.aligned(x, y, lines, 46, 80)
+    (found,) = windows.aligned(x, y, -16, 16, 46, 80)
     assert found[1] - found[0] == 45 and found[4] == pytest.approx(44 / 48)
 
 
+def test_a_window_counts_in_every_range_it_covers():
+    """Windows of 146 shared shingles: a narrow one doesn't use up those that cover the rest too."""
+    l, r = np.array([0, 0, 0, 0, 0, 0, 0, 0, 74]), np.array([72, 119, 129, 139, 145, 145, 145, 145, 145])
+    c, f = np.array([50, 51, 52, 53, 60, 61, 62, 63, 100]), np.array([0, 1, 2, 3, 0, 1, 2, 3, 0])
+    got = [v.tolist() for v in windows.joined(np.zeros(9, np.int64), f, [l, c, r, l + 9, c + 9, r + 9], 46, 2)]
+    assert got == [[0], [0], [145], [9], [154], [-9], [-9]]
+    # two functions with their least value at one place are two; one window alone isn't enough
+    two = [np.array([v, v]) for v in (0, 20, 60, 5, 25, 65)]
+    assert len(windows.joined(np.zeros(2, np.int64), np.array([0, 1]), two, 46, 2)[0]) == 1
+    assert len(windows.joined(np.zeros(2, np.int64), np.array([1, 1]), two, 46, 2)[0]) == 0
+    assert len(windows.joined(np.array([0, 1]), np.array([0, 1]), two, 46, 2)[0]) == 0
+
+
+def test_isolated_passages_are_found_whole(spark):
+    """Passages alone in long unrelated texts, exact and with one word changed, from the shortest length on."""
+    rng, rows, sizes = random.Random(11), [], [50, 55, 60, 65, 70, 100, 150, 400]
+    for k, n in enumerate(sizes * 4):
+        words = sentence(rng, n).split()
+        copy = words if k // len(sizes) % 2 == 0 else [*words[: n // 2], "changed", *words[n // 2 + 1 :]]
+        for i, own in ((2 * k, words), (2 * k + 1, copy)):
+            rows.append((i, f"{sentence(rng, rng.randint(100, 300))} {' '.join(own)} {sentence(rng, rng.randint(100, 300))}"))
+    found = defaultdict(set)
+    for r in windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.doc_id // 2 == r.other_doc_id // 2
+        found[r.doc_id // 2] |= set(range(r.byte_from, r.byte_to))
+    assert set(found) == set(range(len(sizes) * 4))
+    for k, n in enumerate(sizes * 4):
+        assert len(found[k]) >= 0.9 * n * 4
+
+
 def test_empty_tables(spark):
     df = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     assert df.schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
