@@ -40,6 +40,14 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
     return g.add_edges("REFERRED", refer, ("Customer", "a"), ("Customer", "b"), key="a")
 
 
+def whole_graph(spark: SparkSession, d: str) -> Graph:
+    """Customers with REFERRED over all of them, (7c + 1) mod their number; apart, so that ``star_graph`` stays as it is."""
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    n = customers.agg(F.count(F.lit(1)).alias("n"))
+    refer = customers.select(F.col("c_custkey").alias("a")).crossJoin(F.broadcast(n)).select("a", ((F.col("a") * 7 + 1) % F.col("n")).alias("b"))
+    return empty(spark).add_nodes("Customer", customers, "c_custkey").add_edges("REFERRED", refer, ("Customer", "a"), ("Customer", "b"), key="a")
+
+
 LINES = "SELECT DISTINCT * FROM lineitem"
 NEXT = "next(a, b) AS (SELECT x.conv_id * 1000 + x.turn, y.conv_id * 1000 + y.turn FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
 WALK = "WITH RECURSIVE " + NEXT + ", w(a, b, n) AS (SELECT a, b, 1 FROM next UNION ALL SELECT w.a, next.b, n + 1 FROM w JOIN next ON w.b = next.a WHERE n < {most})"
@@ -135,6 +143,18 @@ CASES: dict[str, tuple[str, str | None]] = {
     "explain": ("EXPLAIN MATCH (c:Customer) RETURN count(*) AS n", None),
 }
 
+REFERRED = "e(a, b) AS (SELECT c_custkey, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) FROM customer)"
+
+#: Over all rows, with no filter on ids: name -> (query text, SQL). Those of REFERRED run on ``whole_graph``.
+WHOLE: dict[str, tuple[str, str]] = {
+    "rel_uniqueness_all": ("MATCH (p1:Part)<-[r1:CONTAINS]-(o:Order)-[r2:CONTAINS]->(p2:Part) RETURN o.o_orderkey AS k, count(*) AS n", f"WITH l AS ({LINES}), c AS (SELECT l_orderkey AS k, count(*) AS m FROM l GROUP BY 1) SELECT k, m * (m - 1) AS n FROM c WHERE m > 1"),
+    "graph_fns_all": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) RETURN type(r) AS t, labels(c)[0] AS l, startNode(r).c_custkey AS s, endNode(r).o_orderkey AS e, size(keys(c)) AS k", "SELECT 'PLACED' AS t, 'Customer' AS l, o_custkey AS s, o_orderkey AS e, 5::BIGINT AS k FROM orders"),
+}
+WHOLE_REFERRED: dict[str, tuple[str, str]] = {
+    "expand_both_all": ("MATCH (a:Customer)-[:REFERRED]-(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"WITH {REFERRED} SELECT a, b FROM e JOIN customer y ON b = y.c_custkey UNION ALL SELECT b, a FROM e JOIN customer y ON b = y.c_custkey WHERE a <> b"),
+    "varlen_cycle_trail_all": ("MATCH (c:Customer)-[:REFERRED*1..4]->(d:Customer) RETURN c.c_custkey AS c, d.c_custkey AS d", f"WITH RECURSIVE {REFERRED}, w(s, b, used) AS (SELECT a, b, [a] FROM e UNION ALL SELECT s, e.b, list_append(used, e.a) FROM w JOIN e ON w.b = e.a WHERE len(used) < 4 AND NOT list_contains(used, e.a)) SELECT s AS c, b AS d FROM w JOIN customer ON c_custkey = b"),
+}
+
 #: name -> (statements run before, query, SQL)
 UPDATES: dict[str, tuple[list[str], str, str]] = {
     "create_nodes": (["UNWIND range(1, 50) AS i CREATE (t:Tag {k: i, even: i % 2 = 0})"], "MATCH (t:Tag) RETURN t.even AS e, count(*) AS n, sum(t.k) AS s", "SELECT i % 2 = 0 AS e, count(*) AS n, sum(i)::BIGINT AS s FROM range(1, 51) t(i) GROUP BY 1"),
@@ -153,21 +173,21 @@ UPDATES: dict[str, tuple[list[str], str, str]] = {
 
 
 #: Declared graphs by application and folder: files are listed and schemas read once.
-_declared: dict[tuple[str, str], Graph] = {}
+_declared: dict[tuple[str, str, str], Graph] = {}
 
 
-def _session(spark: SparkSession, d: str) -> GraphSession:
-    key = (spark.sparkContext.applicationId, d)
+def _session(spark: SparkSession, d: str, declare=star_graph) -> GraphSession:
+    key = (spark.sparkContext.applicationId, d, declare.__name__)
     if key not in _declared:
-        _declared[key] = star_graph(spark, d)
+        _declared[key] = declare(spark, d)
     session = GraphSession(spark, _declared[key])
     # means of doubles depend on the order of addition; comparisons use four places
     session.register_function("round_", lambda v: (F.round(v[0], 4), "float"))
     return session
 
 
-def _case(text: str):
-    return lambda spark, d: _session(spark, d).run(text, {"least": 150000})
+def _case(text: str, declare=star_graph):
+    return lambda spark, d: _session(spark, d, declare).run(text, {"least": 150000})
 
 
 def _update(before: list[str], text: str):
@@ -181,8 +201,9 @@ def _update(before: list[str], text: str):
 
 
 def queries() -> dict:
-    return {**{n: _case(t) for n, (t, _) in CASES.items()}, **{n: _update(b, t) for n, (b, t, _) in UPDATES.items()}}
+    whole = {**{n: _case(t) for n, (t, _) in WHOLE.items()}, **{n: _case(t, whole_graph) for n, (t, _) in WHOLE_REFERRED.items()}}
+    return {**{n: _case(t) for n, (t, _) in CASES.items()}, **whole, **{n: _update(b, t) for n, (b, t, _) in UPDATES.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{n: s for n, (_, s) in CASES.items() if s}, **{n: s for n, (*_, s) in UPDATES.items()}}
+    return {**{n: s for n, (_, s) in {**CASES, **WHOLE, **WHOLE_REFERRED}.items() if s}, **{n: s for n, (*_, s) in UPDATES.items()}}

@@ -60,3 +60,14 @@ def test_pruning_reaches_the_scan(spark):
 def test_walk_is_lazy_and_bounded(spark):
     plan = catalogue.queries()["varlen_bounded"](spark, DATA)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_whole_tables_are_covered(spark, duck):
+    """Queries over all rows grow with the tables: every order with two lines or more, every customer."""
+    q = catalogue.queries()
+    orders = duck.execute(f"SELECT count(*) FROM (SELECT l_orderkey FROM ({catalogue.LINES}) GROUP BY 1 HAVING count(*) > 1)").fetchone()[0]
+    assert q["rel_uniqueness_all"](spark, DATA).count() == orders
+    assert q["graph_fns_all"](spark, DATA).count() == duck.execute("SELECT count(*) FROM orders").fetchone()[0]
+    customers, most = duck.execute("SELECT count(*), max(c_custkey) FROM customer").fetchone()
+    assert q["expand_both_all"](spark, DATA).selectExpr("max(a)").first()[0] == most
+    assert q["varlen_cycle_trail_all"](spark, DATA).select("c").distinct().count() > customers // 2
