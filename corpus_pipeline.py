@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm import language, minhash, mixing, packing, suffix
-from graphweft.llm.common import table
+from graphweft.llm.common import table, word_count
 
 #: A document stays if its main language has at least this share of it.
 LEAST_SHARE = 0.5
@@ -26,9 +26,11 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without an id all stay."""
+    """Keeps the document with the smallest id of each group, with all its texts where an id has several; rows without an id all stay."""
     kept = table(minhash.components(docs.select("doc_id", "text"), SIMILAR).where("kept").select("doc_id").distinct(), "pipeline-kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*")
+    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("_copies"))
-    return docs.join(table(taken, "pipeline-mix"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    # what is taken of a row depends on its id, source and number of words alone, and each of the first two may be null
+    mix = mixing.mix(docs.select("doc_id", "text", "source"), carry=("source",)).where("taken > 0")
+    plan = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max(F.expr("taken div size")).alias("_copies"))
+    rows = docs.withColumn("_words", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return rows.join(table(plan, "pipeline-mix"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

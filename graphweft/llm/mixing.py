@@ -21,9 +21,9 @@ BITS, LEVELS = 60, (8, 20, 32, 46, 60)
 WEIGHTS = (5, 2, 1)
 
 
-def _slim(docs: DataFrame) -> DataFrame:
+def _slim(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("k"), word_count(F.col("text")).alias("size"), h.alias("h"))
+    return docs.select("doc_id", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("k"), word_count(F.col("text")).alias("size"), h.alias("h"), *carry)
 
 
 def _targets(slim: DataFrame, weights: tuple[int, ...], share: tuple[int, int], cap: int) -> DataFrame:
@@ -82,14 +82,14 @@ def _spread(by_source: DataFrame) -> DataFrame:
     return by_source.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << LEVELS[0]) - 1).cast("long"))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns ``carry`` for every row of ``docs`` (doc_id, text, source).
 
     A target over its source's size takes whole copies first, the rest by threshold. Null text and
     text without words has size 0 and takes 0; a null source is a source of its own, ranked last; rows with
     equal doc_id share a hash and are taken together within a source; an empty table gives an empty result.
     """
-    slim = cut(_slim(docs)).withColumn("b", F.shiftright("h", BITS - LEVELS[0]))
+    slim = cut(_slim(docs, carry)).withColumn("b", F.shiftright("h", BITS - LEVELS[0]))
     goal = _targets(slim, weights, share, cap)
     copies = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("long")
     goal = cut(goal.withColumn("copies", copies).withColumn("left", F.col("target") - F.col("copies") * F.col("total")))
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     plan = goal.join(first.select("k", "below", (F.col("left") - F.col("used")).alias("gap")), "k", "left").join(second.select("k", F.col("below").alias("below2"), nearer.alias("nearer")), "k", "left")
     one = F.when(F.col("below").isNull() | (F.col("h") < F.col("below")), True).when(F.col("size") > F.col("gap"), False).otherwise(F.col("below2").isNull() | (F.col("h") < F.col("below2")) | ((F.col("h") == F.col("below2")) & F.col("nearer")))
     taken = F.col("size") * (F.col("copies") + F.when(one & (F.col("left") > 0), 1).otherwise(0))
-    return slim.join(_spread(plan), ["k", "b"]).select("doc_id", "size", F.col("total").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    return slim.join(_spread(plan), ["k", "b"]).select("doc_id", "size", F.col("total").alias("source_size"), "target", taken.cast("long").alias("taken"), *carry)
 
 
 ORACLE = f"""

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as pipeline
-from graphweft.llm import registry
+from graphweft.llm import mixing, registry
 from tests.llm.fixtures import SCHEMA, corpus
 from tests.llm.test_documents import closure, shingle_set
 
@@ -57,6 +57,28 @@ def test_mixing_repeats_documents(spark, docs):
     assert got and max(got.values()) <= 2 and set(got) <= {r[0] for r in corpus()}
 
 
+def test_mixing_takes_rows_without_or_with_repeated_ids(spark):
+    """Every row as often as the mix takes it, whatever its id; rows of one id may differ in source and text."""
+    rows = [*corpus(), (2, "another text of two", "en", "s9", 19), (None, "no id here at all", "fr", None, 17), (None, "nor here", "fr", "s9", 8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mix = mixing.mix(docs.select("doc_id", "text", "source")).collect()
+    want = Counter()
+    for r in mix:
+        want[r.doc_id, r.size] += r.taken
+    got = Counter()
+    for r in pipeline.mixed(spark, docs, "").collect():
+        n = len((r.text or "").split())
+        got[r.doc_id, n] += n
+    assert any(k[0] is None and n for k, n in want.items())
+    assert +got == +want
+
+
+def test_near_duplicates_keep_all_texts_of_an_id(spark):
+    rows = [(1, "one text of some five words", "en", "s1", 27), (1, "quite another text with the same id", "en", "s1", 35), (1, "one text of some five words", "fr", "s0", 27)]
+    got = pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, rows[0][1], "en"), (1, rows[1][1], "en")]
+
+
 def test_whole_pipeline(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     rows = pipeline.run(spark, str(tmp_path)).collect()
