@@ -11,13 +11,14 @@ with a third of all pieces is spread over all buckets.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,23 +27,35 @@ from graphweft.llm.common import cut, partitions
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 800_000
-#: Texts tokenised at once.
-TEXTS = 256
+#: Words whose ids a worker remembers, and their bytes; the memory starts anew when either is full.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 6_000_000
+#: Bytes of texts tokenised at once.
+CHUNK = 1 << 22
 #: Pieces in a (length, bucket) group, on average over all lengths, at which more buckets are used.
 BUCKET_ROWS = 20_000
 
 
-class _WordIds(dict):
-    """Little-endian ids of pieces of text. The tokenizer folds case and never joins tokens over a piece's ends.
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes: 0 space, 1 other, 2 letter, 3 digit, 4 apostrophe (other too); the second table knows spaces and others alone."""
+    kinds = np.ones(256, dtype=np.uint8)
+    kinds[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 2
+    kinds[[*range(ord("0"), ord("9") + 1)]] = 3
+    kinds[ord("'")] = 4
+    kinds[[0x20, *range(0x09, 0x0E)]] = 0
+    return kinds, np.minimum(kinds, 1)
 
-    A text whose characters are ASCII or letters is split into letters, digits and signs as the tokenizer does it
-    itself; others only at ASCII spaces. Texts with special tokens are encoded whole.
+
+class _WordIds:
+    """Little-endian ids of texts by way of the ids of their words. The tokenizer folds case and never joins tokens over a word's ends.
+
+    Texts whose characters are ASCII or letters are split into letters, digits and signs as the tokenizer does it
+    itself; others only at ASCII spaces. Texts with special tokens are encoded whole. Words are cut out for many texts at once,
+    and only the different ones are looked up.
     """
 
-    #: Fixed by the tokenizer's own pattern, for ASCII and, as one kind, letters beyond it.
-    SPLIT = re.compile(rb"'(?:[stmd]|re|ve|ll)|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+    #: Fixed by the tokenizer's own pattern: what may follow an apostrophe at the beginning of a word.
+    ONE, TWO = b"stmd", (b"re", b"ve", b"ll")
+    FINE, COARSE = _classes()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,35 +64,97 @@ class _WordIds(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def split(self, text: bytes) -> list[bytes] | None:
-        if b"<|" in text:
-            return None
-        if text.isascii() or all(c < "\x80" or unicodedata.normalize("NFC", c).lower().isalpha() for c in set(text.decode())):
-            return self.SPLIT.findall(text.lower())
-        return text.split()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, found: list[list[bytes] | None]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(set().union(*(f for f in found if f)) - self.keys())
-        if not new:
-            return
-        [all_ids] = self.ids([b" ".join(new).decode()])
-        cuts = 4 * (np.flatnonzero(self.ends[np.frombuffer(all_ids, dtype="<u4")]) + 1)
-        if len(cuts) == len(new):  # each is one word to the tokenizer
-            cuts = cuts.tolist()
-            self.update(zip(new, (all_ids[i:j] for i, j in zip([0, *cuts], cuts))))
-        else:
-            self.update(zip(new, self.ids([x.decode() for x in new])))
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        found = [self.split(t) for t in texts]
-        self.learn(found)
-        return [self.ids([t.decode()])[0] if f is None else b"".join(map(self.__getitem__, f)) for t, f in zip(texts, found)]
+        self.letters: set[str] = set(map(chr, range(128)))
+        self.others: set[str] = set()
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.chars, self.first, self.count, self.flat = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def plain(self, text: bytes) -> bool:
+        """Whether all characters are ASCII or letters, also when they are normalised and folded."""
+        if text.isascii():
+            return True
+        found = set(text.decode())
+        for c in found - self.letters - self.others:
+            (self.letters if unicodedata.normalize("NFC", c).lower().isalpha() else self.others).add(c)
+        return found <= self.letters
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        simple = self.tokenizer.model.tokenize
+        found: list[list[int]] = [[t.id for t in simple(w.decode())] if w.isascii() and (w.isalpha() or w.isdigit() and len(w) == 1) else [] for w in new]
+        if rest := [k for k, ids in enumerate(found) if not ids]:
+            [whole] = self.ids([b" ".join([new[k] for k in rest]).decode()])
+            ends = np.flatnonzero(self.ends[whole]) + 1
+            if len(ends) != len(rest):  # some are not one word to the tokenizer
+                each = self.ids([new[k].decode() for k in rest])
+                whole, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            whole, ends = whole.tolist(), ends.tolist()
+            for k, a, b in zip(rest, [0, *ends], ends):
+                found[k] = whole[a:b]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        self.rows.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), "<u4", int(count.sum()))])
+        self.chars += sum(map(len, new))
+
+    def starts(self, data: np.ndarray, fine: bool) -> np.ndarray:
+        """Where words begin in ``data`` (folded, without special tokens)."""
+        kind = (self.FINE if fine else self.COARSE)[data]
+        if not fine:
+            return np.flatnonzero((kind > 0) & (np.concatenate([[0], kind[:-1]]) == 0))
+        mark = kind == 4
+        kind[mark] = 1
+        before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+        new = (kind > 0) & ((kind != before) | (kind == 3))
+        at = np.flatnonzero(mark & new)
+        at = at[at + 3 < len(data)]
+        one = at[np.isin(data[at + 1], np.frombuffer(self.ONE, np.uint8))]
+        pair = data[at + 1].astype(np.int32) << 8 | data[at + 2]
+        two = at[np.isin(pair, [x[0] << 8 | x[1] for x in self.TWO])]
+        for k, some in ((2, one), (3, two)):
+            new[some + 1] = False
+            new[some + k] |= kind[some + k] > 0
+        return np.flatnonzero(new)
+
+    def many(self, texts: list[bytes], fine: bool) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.rows) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
+        data = np.frombuffer((b"\n".join(texts) + b"\n   ").lower(), dtype=np.uint8)
+        starts = self.starts(data, fine)
+        base = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+        own = self.COARSE[data] > 0  # without spaces, a word ends where the next begins
+        offsets = np.append(np.cumsum(own)[starts] - 1, own.sum()).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[own])]).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        if new := [w for w in different if w not in self.rows]:
+            self.learn(new)
+        row = np.fromiter(map(self.rows.__getitem__, different), np.int64, len(different))[words.indices.to_numpy()]
+        count = self.count[row]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(self.first[row] - upto[:-1], count) + np.arange(upto[-1])]
+        cuts = upto[base].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        special = [b"<|" in t for t in texts]
+        fine = [not s and self.plain(t) for s, t in zip(special, texts)]
+        for kind in (True, False):
+            some = [k for k, s in enumerate(special) if not s and fine[k] == kind]
+            if some:
+                for k, ids in zip(some, self.many([texts[k] for k in some], kind)):
+                    out[k] = ids
+        for k, s in enumerate(special):
+            if s:
+                [out[k]] = self.ids([texts[k].decode()])
+        return out
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -92,17 +167,21 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """doc_id, piece, start, length, ids_crc32 for every piece of every document; null text counts as empty."""
 
     def cut_up(batches):
-        words, end = _WordIds(path or tokenizer_path()), np.array([end_id], dtype="<u4").tobytes()
+        words, end = _WordIds(path or tokenizer_path()), np.array([end_id], dtype="<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy())
+            at = 0
+            while at < whole.num_rows:
+                upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right")))
+                batch = whole.slice(at, upto - at)
+                at = upto
                 texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
                 out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(batch.column(0).to_pylist(), words.of(texts)):
-                    ids += end
-                    for k in range(0, len(ids), 4 * capacity):
-                        part = ids[k : k + 4 * capacity]
-                        for column, value in zip(out, (doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
+                    ids = np.concatenate([ids, end])
+                    for p, k in enumerate(range(0, len(ids), capacity)):
+                        part = ids[k : k + capacity]
+                        for column, value in zip(out, (doc, p, k, len(part), zlib.crc32(part))):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
