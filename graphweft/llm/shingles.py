@@ -28,6 +28,13 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.full(n, 0xD6E8FEB86659FD93, dtype=np.uint64))
 
 
+def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes at which the words of a text begin and end."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(text, dtype=np.uint8)], [True]])
+    turn = np.flatnonzero(space[1:] != space[:-1])
+    return turn[::2], turn[1::2]
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z folded; where each text's words begin (one more than texts); and the
     bytes at which each word begins and ends within its text."""
