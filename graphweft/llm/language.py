@@ -20,7 +20,9 @@ BUCKETS, GRAMS, SMOOTH, TEMPER = 1 << 15, (2, 3), 0.5, 0.5
 #: Log-likelihood that each further language must add, times the log of the number of words; EM steps.
 PENALTY, STEPS = 2.0, 30
 #: Words that a worker remembers.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 200_000, 4_000_000
+#: Characters of texts after which a worker turns words into n-grams, words at once, and languages after which it passes sums on.
+COUNTED_CHARS, COUNTED_WORDS, COUNTED_LANGS = 2_000_000, 1 << 15, 64
 UNDEFINED = "und"
 
 
@@ -62,19 +64,37 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their n-gram log-probabilities (languages x BUCKETS), counted over all rows of ``docs`` (text, lang)."""
 
     def count(batches):
+        words: dict[str, Counter] = {}
+        sums: dict[str, np.ndarray] = {}
+        held = 0
+
+        def add() -> None:
+            for lang, counted in words.items():
+                into = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                some, times = list(counted), np.fromiter(counted.values(), np.int64, len(counted))
+                for k in range(0, len(some), COUNTED_WORDS):
+                    buckets, of, _ = grams(some[k : k + COUNTED_WORDS])
+                    into += np.bincount(buckets, weights=times[k:][of], minlength=BUCKETS).astype(np.int64)
+            words.clear()
+
+        def give():
+            add()
+            for lang, n in sums.items():
+                at = np.flatnonzero(n) if n.any() else np.zeros(1, np.int64)  # a language without n-grams is known too
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
-            by: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0), batch.column(1)):
-                by.setdefault(lang.as_py(), Counter()).update(text.as_py().lower().split())
-            for lang, words in by.items():
-                if not words:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([0], pa.int64())], ["lang", "bucket", "n"])
-                    continue
-                times = np.fromiter(words.values(), np.int64, len(words))
-                buckets, of, _ = grams(list(words))
-                n = np.bincount(buckets, weights=times[of], minlength=BUCKETS).astype(np.int64)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+                text, lang = text.as_py().lower(), lang.as_py()
+                words.setdefault(lang, Counter()).update(text.split())
+                held += len(text)
+                if held > COUNTED_CHARS:
+                    add()
+                    held = 0
+                if len(sums) > COUNTED_LANGS:
+                    yield from give()
+        yield from give()
 
     counted = docs.select("text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS at most
