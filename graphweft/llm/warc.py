@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import cut, shared_dir, table
+from graphweft.llm.common import cut, partitions, shared_dir, table
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
@@ -192,7 +192,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names)
 
-    return frames.mapInArrow(unpack, schema)
+    dealt = frames.repartition(partitions(index.sparkSession), "bundle", "frame_at")  # few rows, but each is a frame to unpack
+    return dealt.mapInArrow(unpack, schema)
 
 
 def digest_rows(pages: DataFrame, folder: str | None = None) -> DataFrame:
