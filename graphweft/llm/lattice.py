@@ -179,7 +179,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     rows = vectors.select("vec_id", "label", "embedding")
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(x, lambda e: e != 0)
-    key = [F.col("label"), F.xxhash64(x, F.lit(1)).alias("k1"), F.xxhash64(x, F.lit(2)).alias("k2")]
+    key = [F.col("label"), F.xxhash64(F.lit(1), x).alias("k1"), F.xxhash64(F.lit(2), x).alias("k2")]
     classes = table(rows.where(good).select("vec_id", x.cast("array<double>").alias("v"), *key).groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v")).withColumn("label_key", F.xxhash64("label")), "lattice-classes")
     found = cut(_meet(table(_spread_out(classes, tables), "lattice-cells"), classes, tables, cosine))
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
