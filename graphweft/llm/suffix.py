@@ -54,8 +54,11 @@ def anchors(text: bytes, length: int, gram: int, powers: np.ndarray, inverse: np
 
 
 def _row(docs: DataFrame) -> list[Column]:
-    """What names a row: its id and a hash of its text. Rows equal in both are treated alike."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("dk"), F.hash(F.coalesce("text", F.lit(""))).alias("ver")]
+    """What names a row: its id (a hash of it, unless it is a whole number) and a hash of its text and of whether it has an id. Rows
+    equal in both are treated alike."""
+    whole = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    own = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id")
+    return [F.coalesce(own, F.lit(0)).cast("long").alias("dk"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("ver")]
 
 
 def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -73,13 +76,13 @@ def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     h, first, last = anchors(part, length, gram, powers, inverse)
                     view = memoryview(part)
                     g = np.frombuffer(b"".join([hashlib.blake2b(view[a : b + length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())]), dtype=np.int64)
-                    for column, value in zip(out, (np.full(len(h), dk), np.full(len(h), ver, np.int32), h, g[::2], g[1::2], (first + at).astype(np.int64), (last + at).astype(np.int64))):
+                    for column, value in zip(out, (np.full(len(h), dk), np.full(len(h), ver), h, g[::2], g[1::2], (first + at).astype(np.int64), (last + at).astype(np.int64))):
                         column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["dk", "ver", "h", "g1", "g2", "s0", "s1"])
 
     long = docs.select(*_row(docs), F.col("text").cast("binary").alias("text")).where(F.length("text") >= length)
-    return long.mapInArrow(run, "dk long, ver int, h long, g1 long, g2 long, s0 long, s1 long")
+    return long.mapInArrow(run, "dk long, ver long, h long, g1 long, g2 long, s0 long, s1 long")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -171,22 +174,24 @@ def _marked(docs: DataFrame, length: int, gram: int, keep: list[str]) -> DataFra
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes; a null text is an empty one. Texts under ``length`` bytes lose nothing. Rows that repeat lose what
-    they have in common with each other. A removed run may end within a character.
+    they have in common with each other. A removed run may end within a character: n_removed and kept_sha256 go by bytes, while text
+    leaves out what remains of such a character. Ids may be of any type, and null.
     """
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, cuts in zip(batch.column("__text"), batch.column("__cuts")):
                 text, spans = text.as_buffer().to_pybytes(), merged(cuts.as_py())
-                for column, value in zip(out, (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_left(text, spans)).hexdigest())):
+                left = _left(text, spans)
+                for column, value in zip(out, (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return _marked(docs, length, gram, ["doc_id"]).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _marked(docs, length, gram, ["doc_id"]).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
