@@ -36,22 +36,17 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
     g = g.add_edges("DID", t["events"], ("User", "user_id"), ("Event", "event_id"), key="event_id", holds="_dst")
     nxt = talk.select("m_id", "m_next").join(talk.select(F.col("m_id").alias("to")), F.col("m_next") == F.col("to"))
     g = g.add_edges("NEXT", nxt, ("Message", "m_id"), ("Message", "m_next"), key="m_id")
-    refer = t["customer"].select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 101 + 1).alias("b")).where("a <= 101")
+    n = t["customer"].agg(F.count(F.lit(1)).alias("n"))  # one row
+    refer = t["customer"].select(F.col("c_custkey").alias("a")).crossJoin(F.broadcast(n)).select("a", ((F.col("a") * 7 + 1) % F.col("n")).alias("b"))
     return g.add_edges("REFERRED", refer, ("Customer", "a"), ("Customer", "b"), key="a")
 
 
-def whole_graph(spark: SparkSession, d: str) -> Graph:
-    """Customers with REFERRED over all of them, (7c + 1) mod their number; apart, so that ``star_graph`` stays as it is."""
-    customers = spark.read.parquet(f"{d}/customer.parquet")
-    n = customers.agg(F.count(F.lit(1)).alias("n"))
-    refer = customers.select(F.col("c_custkey").alias("a")).crossJoin(F.broadcast(n)).select("a", ((F.col("a") * 7 + 1) % F.col("n")).alias("b"))
-    return empty(spark).add_nodes("Customer", customers, "c_custkey").add_edges("REFERRED", refer, ("Customer", "a"), ("Customer", "b"), key="a")
-
-
 LINES = "SELECT DISTINCT * FROM lineitem"
 NEXT = "next(a, b) AS (SELECT x.conv_id * 1000 + x.turn, y.conv_id * 1000 + y.turn FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
 WALK = "WITH RECURSIVE " + NEXT + ", w(a, b, n) AS (SELECT a, b, 1 FROM next UNION ALL SELECT w.a, next.b, n + 1 FROM w JOIN next ON w.b = next.a WHERE n < {most})"
 
+REFERRED = "e(a, b) AS (SELECT c_custkey, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) FROM customer)"
+
 CASES: dict[str, tuple[str, str | None]] = {
     "flagship": (
         "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 100000 RETURN c.c_mktsegment AS seg, count(*) AS n ORDER BY n DESC, seg LIMIT 5",
@@ -69,18 +64,18 @@ CASES: dict[str, tuple[str, str | None]] = {
     "case_searched": ("MATCH (p:Part) RETURN p.p_partkey AS k, CASE WHEN p.p_size < 10 THEN 'small' WHEN p.p_size < 30 THEN 'medium' END AS s", "SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' END AS s FROM part"),
     "expand_out": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_name AS name, o.o_orderkey AS k", "SELECT c_name AS name, o_orderkey AS k FROM customer JOIN orders ON c_custkey = o_custkey"),
     "expand_in": ("MATCH (n:Nation)<-[:FROM]-(s:Supplier) RETURN n.n_name AS name, s.s_name AS s", "SELECT n_name AS name, s_name AS s FROM nation JOIN supplier ON n_nationkey = s_nationkey"),
-    "expand_both": ("MATCH (a:Customer)-[:REFERRED]-(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", "WITH e AS (SELECT c_custkey AS a, c_custkey * 7 % 101 + 1 AS b FROM customer WHERE c_custkey <= 101) SELECT a, b FROM e JOIN customer y ON b = y.c_custkey UNION ALL SELECT b, a FROM e JOIN customer y ON b = y.c_custkey WHERE a <> b"),
+    "expand_both": ("MATCH (a:Customer)-[:REFERRED]-(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"WITH {REFERRED} SELECT a, b FROM e JOIN customer y ON b = y.c_custkey UNION ALL SELECT b, a FROM e JOIN customer y ON b = y.c_custkey WHERE a <> b"),
     "expand_multi_type": ("MATCH (o:Order)-[r:CONTAINS|SHIPPED_BY]->(x) RETURN type(r) AS t, labels(x)[0] AS l, count(*) AS n", f"SELECT 'CONTAINS' AS t, 'Part' AS l, count(*) AS n FROM ({LINES}) UNION ALL SELECT 'SHIPPED_BY', 'Supplier', count(*) FROM ({LINES})"),
     "three_hop": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:FROM]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.r_name AS region, count(*) AS n, max(o.o_totalprice) AS top", "SELECT r_name AS region, count(*) AS n, max(o_totalprice) AS top FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "multi_part_match": ("MATCH (c:Customer)-[:PLACED]->(o:Order), (c)-[:FROM]->(n:Nation) RETURN n.n_name AS name, count(o) AS n", "SELECT n_name AS name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "cross_product": ("MATCH (a:Region), (b:Nation) RETURN a.r_name AS a, b.n_name AS b", "SELECT r_name AS a, n_name AS b FROM region, nation"),
     "expand_into": ("MATCH (c:Customer)-[:FROM]->(n:Nation)<-[:FROM]-(s:Supplier), (c)-[:PLACED]->(o:Order)-[:SHIPPED_BY]->(s) RETURN count(*) AS n", f"SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN orders ON o_custkey = c_custkey JOIN ({LINES}) ON l_orderkey = o_orderkey AND l_suppkey = s_suppkey"),
-    "rel_uniqueness": ("MATCH (p1:Part)<-[r1:CONTAINS]-(o:Order)-[r2:CONTAINS]->(p2:Part) WHERE o.o_orderkey < 200 RETURN o.o_orderkey AS k, count(*) AS n", f"WITH l AS ({LINES}), c AS (SELECT l_orderkey AS k, count(*) AS m FROM l WHERE l_orderkey < 200 GROUP BY 1) SELECT k, m * (m - 1) AS n FROM c WHERE m > 1"),
+    "rel_uniqueness": ("MATCH (p1:Part)<-[r1:CONTAINS]-(o:Order)-[r2:CONTAINS]->(p2:Part) RETURN o.o_orderkey AS k, count(*) AS n", f"WITH l AS ({LINES}), c AS (SELECT l_orderkey AS k, count(*) AS m FROM l GROUP BY 1) SELECT k, m * (m - 1) AS n FROM c WHERE m > 1"),
     "varlen_bounded": ("MATCH (m:Message)-[:NEXT*1..3]->(k:Message) RETURN m.conv_id AS c, m.turn AS t, k.turn AS u", WALK.format(most=3) + " SELECT a // 1000 AS c, a % 1000 AS t, b % 1000 AS u FROM w"),
     "varlen_zero": ("MATCH (m:Message)-[:NEXT*0..1]->(k:Message) RETURN m.conv_id AS c, m.turn AS t, k.turn AS u", WALK.format(most=1) + " SELECT a // 1000 AS c, a % 1000 AS t, b % 1000 AS u FROM w UNION ALL SELECT conv_id, turn, turn FROM conversations"),
     "varlen_exact": ("MATCH (m:Message)-[:NEXT*2]->(k:Message) RETURN m.conv_id AS c, m.turn AS t, k.role AS r", WALK.format(most=2) + " SELECT a // 1000 AS c, a % 1000 AS t, role AS r FROM w JOIN conversations ON conv_id * 1000 + turn = b WHERE n = 2"),
     "varlen_unbounded": ("MATCH (m:Message)-[:NEXT*]->(k:Message) RETURN m.conv_id AS c, count(*) AS n", WALK.format(most=100) + " SELECT a // 1000 AS c, count(*) AS n FROM w GROUP BY 1"),
-    "varlen_cycle_trail": ("MATCH (c:Customer)-[:REFERRED*1..4]->(d:Customer) WHERE c.c_custkey <= 20 RETURN c.c_custkey AS c, d.c_custkey AS d", "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey * 7 % 101 + 1 AS b FROM customer WHERE c_custkey <= 101), w(s, b, used) AS (SELECT a, b, [a] FROM e WHERE a <= 20 UNION ALL SELECT s, e.b, list_append(used, e.a) FROM w JOIN e ON w.b = e.a WHERE len(used) < 4 AND NOT list_contains(used, e.a)) SELECT s AS c, b AS d FROM w JOIN customer ON c_custkey = b"),
+    "varlen_cycle_trail": ("MATCH (c:Customer)-[:REFERRED*1..4]->(d:Customer) RETURN c.c_custkey AS c, d.c_custkey AS d", f"WITH RECURSIVE {REFERRED}, w(s, b, used) AS (SELECT a, b, [a] FROM e UNION ALL SELECT s, e.b, list_append(used, e.a) FROM w JOIN e ON w.b = e.a WHERE len(used) < 4 AND NOT list_contains(used, e.a)) SELECT s AS c, b AS d FROM w JOIN customer ON c_custkey = b"),
     "path_functions": ("MATCH p = (m:Message)-[:NEXT*1..2]->(k:Message) RETURN m.conv_id AS c, m.turn AS t, length(p) AS n, size([x IN nodes(p) WHERE x.role = 'user']) AS u", "SELECT * FROM (" + WALK.format(most=2) + " SELECT a // 1000 AS c, a % 1000 AS t, n, (SELECT count(*) FROM conversations v WHERE v.conv_id = a // 1000 AND v.turn BETWEEN a % 1000 AND b % 1000 AND v.role = 'user') AS u FROM w)"),
     "path_quantifiers": ("MATCH p = (m:Message)-[:NEXT*2]->(k:Message) RETURN m.conv_id AS c, m.turn AS t, all(x IN nodes(p) WHERE x.turn >= 1) AS a, any(x IN nodes(p) WHERE x.role = 'user') AS b, none(x IN nodes(p) WHERE x.turn = 2) AS d, single(x IN nodes(p) WHERE x.role = 'user') AS e", "SELECT c, t, t >= 1 AS a, u > 0 AS b, NOT (2 BETWEEN t AND t + 2) AS d, u = 1 AS e FROM (" + WALK.format(most=2) + " SELECT a // 1000 AS c, a % 1000 AS t, (SELECT count(*) FROM conversations v WHERE v.conv_id = a // 1000 AND v.turn BETWEEN a % 1000 AND b % 1000 AND v.role = 'user') AS u FROM w WHERE n = 2)"),
     "optional_match": ("MATCH (o:Order) OPTIONAL MATCH (o)-[:CONTAINS]->(p:Part) RETURN o.o_orderkey AS k, count(p) AS n", f"SELECT o_orderkey AS k, count(l_partkey) AS n FROM orders LEFT JOIN ({LINES}) ON l_orderkey = o_orderkey GROUP BY 1"),
@@ -113,7 +108,7 @@ CASES: dict[str, tuple[str, str | None]] = {
     "math_fns": ("MATCH (c:Customer) RETURN c.c_custkey AS k, abs(c.c_acctbal) AS a, ceil(c.c_acctbal) AS b, sign(c.c_acctbal) AS s, c.c_custkey / 7 AS d, c.c_custkey % 7 AS m, c.c_custkey / 0 AS z", "SELECT c_custkey AS k, abs(c_acctbal) AS a, ceil(c_acctbal) AS b, sign(c_acctbal)::BIGINT AS s, c_custkey // 7 AS d, c_custkey % 7 AS m, NULL::BIGINT AS z FROM customer"),
     "string_fns": ("MATCH (n:Nation) RETURN n.n_nationkey AS k, toLower(n.n_name) AS a, substring(n.n_name, 1, 3) AS b, left(n.n_name, 2) AS c, right(n.n_name, 2) AS d, reverse(n.n_name) AS e, replace(n.n_name, 'A', 'x') AS f, size(split(n.n_name, 'A')) AS g, size(n.n_name) AS h", "SELECT n_nationkey::BIGINT AS k, lower(n_name) AS a, substr(n_name, 2, 3) AS b, left(n_name, 2) AS c, right(n_name, 2) AS d, reverse(n_name) AS e, replace(n_name, 'A', 'x') AS f, len(string_split(n_name, 'A'))::BIGINT AS g, length(n_name)::BIGINT AS h FROM nation"),
     "conv_fns": ("MATCH (c:Customer) RETURN c.c_custkey AS k, toInteger(c.c_acctbal) AS a, toFloat(c.c_custkey) AS b, toString(c.c_custkey) AS s, toInteger('x') AS x, coalesce(null, c.c_custkey) AS y", "SELECT c_custkey AS k, trunc(c_acctbal)::BIGINT AS a, c_custkey::DOUBLE AS b, c_custkey::VARCHAR AS s, NULL::BIGINT AS x, c_custkey AS y FROM customer"),
-    "graph_fns": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE c.c_custkey < 50 RETURN type(r) AS t, labels(c)[0] AS l, startNode(r).c_custkey AS s, endNode(r).o_orderkey AS e, size(keys(c)) AS k", "SELECT 'PLACED' AS t, 'Customer' AS l, o_custkey AS s, o_orderkey AS e, 5::BIGINT AS k FROM orders WHERE o_custkey < 50"),
+    "graph_fns": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) RETURN type(r) AS t, labels(c)[0] AS l, startNode(r).c_custkey AS s, endNode(r).o_orderkey AS e, size(keys(c)) AS k", "SELECT 'PLACED' AS t, 'Customer' AS l, o_custkey AS s, o_orderkey AS e, 5::BIGINT AS k FROM orders"),
     "date_fields": ("MATCH (o:Order) RETURN o.o_orderkey AS k, o.o_orderdate.year AS y, o.o_orderdate.month AS m, o.o_orderdate.day AS d, o.o_orderdate.quarter AS q, o.o_orderdate.week AS w, o.o_orderdate.ordinalDay AS n, o.o_orderdate.weekDay AS wd", "SELECT o_orderkey AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, weekofyear(o_orderdate) AS w, dayofyear(o_orderdate) AS n, isodow(o_orderdate) AS wd FROM orders"),
     "date_trunc": ("MATCH (o:Order) RETURN date.truncate('month', o.o_orderdate).day AS d, date.truncate('quarter', o.o_orderdate).month AS m, count(*) AS n", "SELECT 1::BIGINT AS d, month(date_trunc('quarter', o_orderdate)) AS m, count(*) AS n FROM orders GROUP BY 2"),
     "duration_add": ("MATCH (o:Order) RETURN o.o_orderkey AS k, toString(date(o.o_orderdate) + duration({months: 1, days: 3})) AS d, toString(date(o.o_orderdate) - duration('P1Y')) AS e", "SELECT o_orderkey AS k, (o_orderdate::DATE + INTERVAL 1 MONTH + INTERVAL 3 DAY)::DATE::VARCHAR AS d, (o_orderdate::DATE - INTERVAL 1 YEAR)::DATE::VARCHAR AS e FROM orders"),
@@ -140,21 +135,27 @@ CASES: dict[str, tuple[str, str | None]] = {
     "nested_collect": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, collect(n.n_nationkey) AS ks RETURN r.r_name AS r, size([k IN ks WHERE k % 2 = 0]) AS even, any(k IN ks WHERE k = 7) AS seven", "SELECT r_name AS r, count(*) FILTER (n_nationkey % 2 = 0) AS even, bool_or(n_nationkey = 7) AS seven FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
     "show_databases": ("SHOW DATABASES", "SELECT 'default' AS name, true AS current"),
     "show_indexes": ("SHOW INDEXES", "SELECT '' AS name, '' AS label, '' AS property, true AS \"unique\", '' AS state WHERE false"),
+    "mixed_in": ("UNWIND range(0, 3) AS i RETURN i, i IN ['1', 2] AS a, '1' IN ['1', 2] AS b, i IN ['x', null] AS c", "SELECT i, i = 2 AS a, true AS b, NULL::BOOLEAN AS c FROM range(0, 4) t(i)"),
+    "mixed_order": ("UNWIND [10, 9, 'z', true, 2.5, null] AS x RETURN x ORDER BY x SKIP 1 LIMIT 3", "SELECT unnest(['true', '2.5', '9']) AS x"),
+    "mixed_minmax": ("MATCH (n:Nation) WITH CASE WHEN n.n_nationkey % 2 = 0 THEN n.n_nationkey ELSE n.n_name END AS v RETURN max(v) AS hi, min(v) AS lo, count(DISTINCT v) AS n", "SELECT max(n_nationkey) FILTER (n_nationkey % 2 = 0)::VARCHAR AS hi, min(n_name) FILTER (n_nationkey % 2 = 1) AS lo, count(*) AS n FROM nation"),
+    "mixed_compare": ("MATCH (c:Customer) WITH CASE WHEN c.c_custkey % 3 = 0 THEN c.c_custkey ELSE c.c_name END AS v WHERE v > 100 RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE c_custkey % 3 = 0 AND c_custkey > 100"),
+    "mixed_add": ("UNWIND [1, 'a', 2.5] AS x RETURN x + 1 AS s, toInteger(x) AS i, [x] = [1] AS e", "SELECT * FROM (VALUES ('2', 1::BIGINT, true), ('a1', NULL, false), ('3.5', 2, false)) t(s, i, e)"),
+    "percentile_distinct": ("MATCH (p:Part) RETURN p.p_brand AS b, percentileDisc(DISTINCT p.p_size, 0.5) AS d, percentileCont(DISTINCT p.p_size, 0.25) AS c", "SELECT b, quantile_disc(x, 0.5) AS d, quantile_cont(x::DOUBLE, 0.25) AS c FROM (SELECT DISTINCT p_brand AS b, p_size::BIGINT AS x FROM part) GROUP BY b"),
+    "inline_props": ("MATCH (o:Order {o_orderstatus: 'F'})-[:CONTAINS {l_quantity: 1.0}]->(p:Part) RETURN count(*) AS n", f"SELECT count(*) AS n FROM ({LINES}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_quantity = 1"),
+    "patcomp_in_listcomp": ("MATCH (r:Region) RETURN r.r_name AS r, size([x IN [(r)<-[:IN_REGION]-(n) | n.n_nationkey] WHERE x > 10]) AS n", "SELECT r_name AS r, count(*) FILTER (n_nationkey > 10) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
+    "power_fns": ("MATCH (p:Part) RETURN p.p_partkey AS k, round_(sqrt(p.p_size)) AS s, p.p_size ^ 2 AS q, -p.p_size AS m, +p.p_size AS u, rand() < 1.0 AS r, 0x1F + 0o17 AS h", "SELECT p_partkey AS k, round(sqrt(p_size), 4) AS s, pow(p_size, 2) AS q, -p_size::BIGINT AS m, p_size::BIGINT AS u, true AS r, 46::BIGINT AS h FROM part"),
+    "trim_fns": ("UNWIND range(1, 3) AS i RETURN i, trim('  a ') AS a, ltrim('  a ') AS b, rtrim(' a  ') AS c, toUpper('ab') AS d, toBoolean('true') AS e, toBoolean('x') AS f, 'a' + i + 'b' AS g", "SELECT i, 'a' AS a, 'a ' AS b, ' a' AS c, 'AB' AS d, true AS e, NULL::BOOLEAN AS f, 'a' || i || 'b' AS g FROM range(1, 4) t(i)"),
+    "entity_fns": ("MATCH (c:Customer)-[r:FROM]->(n:Nation) RETURN properties(n).n_name AS name, count(DISTINCT id(c)) AS c, count(DISTINCT id(r)) AS r", "SELECT n_name AS name, count(*) AS c, count(*) AS r FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"),
+    "localtime_fns": ("MATCH (o:Order) WITH o, localtime({hour: o.o_orderkey % 24, minute: o.o_custkey % 60, second: 5}) AS t RETURN o.o_orderkey AS k, t.hour AS h, toString(t) AS s, toString(t + duration('PT90M')) AS u, toString(localtime.truncate('hour', t)) AS v", "SELECT o_orderkey AS k, o_orderkey % 24 AS h, strftime(t, '%H:%M:%S') AS s, strftime(t + INTERVAL 90 MINUTE, '%H:%M:%S') AS u, strftime(date_trunc('hour', t), '%H:%M') AS v FROM (SELECT *, TIMESTAMP '2000-01-01 00:00:05' + to_hours((o_orderkey % 24)::INT) + to_minutes((o_custkey % 60)::INT) AS t FROM orders)"),
+    "time_fns": ("UNWIND range(0, 5) AS i WITH i, time({hour: 10 + i, minute: 30, timezone: '+02:00'}) AS t RETURN i, toString(t) AS s, t.offset AS o, t.offsetSeconds AS e, t > time('11:00Z') AS a, t = time('10:30Z') AS b", "SELECT i, (10 + i) || ':30+02:00' AS s, '+02:00' AS o, 7200::BIGINT AS e, i >= 3 AS a, i = 2 AS b FROM range(0, 6) t(i)"),
+    "datetime_zone": ("MATCH (o:Order) WITH o, datetime({datetime: o.o_orderdate, timezone: '+01:00'}) AS d RETURN o.o_orderkey AS k, d.hour AS h, d.offset AS z, d.epochSeconds AS e, d.timezone AS n", "SELECT o_orderkey AS k, hour(o_orderdate)::BIGINT AS h, '+01:00' AS z, floor(epoch_us(o_orderdate) / 1e6)::BIGINT - 3600 AS e, '+01:00' AS n FROM orders"),
+    "datetime_named_zone": ("UNWIND [1, 7] AS m WITH m, datetime({year: 2020, month: m, day: 5, hour: 3, timezone: 'Europe/Stockholm'}) AS d RETURN m, toString(d) AS s, d.offsetMinutes AS o, d.epochSeconds AS e", "SELECT * FROM (VALUES (1::BIGINT, '2020-01-05T03:00+01:00[Europe/Stockholm]', 60::BIGINT, 1578189600::BIGINT), (7, '2020-07-05T03:00+02:00[Europe/Stockholm]', 120, 1593910800)) t(m, s, o, e)"),
+    "truncate_fields": ("MATCH (o:Order) RETURN o.o_orderkey AS k, toString(date.truncate('month', o.o_orderdate, {day: 5})) AS a, toString(localdatetime.truncate('day', o.o_orderdate, {hour: 7})) AS b, toString(date.truncate('week', o.o_orderdate, {dayOfWeek: 3})) AS c", "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate) + INTERVAL 4 DAY, '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') || 'T07:00' AS b, strftime(date_trunc('week', o_orderdate) + INTERVAL 2 DAY, '%Y-%m-%d') AS c FROM orders"),
+    "duration_between_times": ("UNWIND range(0, 3) AS i RETURN i, toString(duration.between(localtime('10:00'), localtime({hour: 12 + i, minute: 30}))) AS a, duration.inSeconds(time('10:00Z'), time({hour: 10 + i, timezone: '+01:00'})).seconds AS b, duration.inMonths(date('2000-01-15'), date({year: 2000 + i, month: 3, day: 20})).months AS c", "SELECT i, 'PT' || (2 + i) || 'H30M' AS a, (i - 1) * 3600 AS b, 12 * i + 2 AS c FROM range(0, 4) t(i)"),
+    "clock_fns": ("RETURN localtime.transaction() = localtime.transaction() AS a, datetime() > datetime('2020-01-01') AS b, time.statement().offset AS c, date.realtime() >= date('2020-01-01') AS d, localdatetime.statement().year > 2000 AS e", "SELECT true AS a, true AS b, 'Z' AS c, true AS d, true AS e"),
     "explain": ("EXPLAIN MATCH (c:Customer) RETURN count(*) AS n", None),
 }
 
-REFERRED = "e(a, b) AS (SELECT c_custkey, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) FROM customer)"
-
-#: Over all rows, with no filter on ids: name -> (query text, SQL). Those of REFERRED run on ``whole_graph``.
-WHOLE: dict[str, tuple[str, str]] = {
-    "rel_uniqueness_all": ("MATCH (p1:Part)<-[r1:CONTAINS]-(o:Order)-[r2:CONTAINS]->(p2:Part) RETURN o.o_orderkey AS k, count(*) AS n", f"WITH l AS ({LINES}), c AS (SELECT l_orderkey AS k, count(*) AS m FROM l GROUP BY 1) SELECT k, m * (m - 1) AS n FROM c WHERE m > 1"),
-    "graph_fns_all": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) RETURN type(r) AS t, labels(c)[0] AS l, startNode(r).c_custkey AS s, endNode(r).o_orderkey AS e, size(keys(c)) AS k", "SELECT 'PLACED' AS t, 'Customer' AS l, o_custkey AS s, o_orderkey AS e, 5::BIGINT AS k FROM orders"),
-}
-WHOLE_REFERRED: dict[str, tuple[str, str]] = {
-    "expand_both_all": ("MATCH (a:Customer)-[:REFERRED]-(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"WITH {REFERRED} SELECT a, b FROM e JOIN customer y ON b = y.c_custkey UNION ALL SELECT b, a FROM e JOIN customer y ON b = y.c_custkey WHERE a <> b"),
-    "varlen_cycle_trail_all": ("MATCH (c:Customer)-[:REFERRED*1..4]->(d:Customer) RETURN c.c_custkey AS c, d.c_custkey AS d", f"WITH RECURSIVE {REFERRED}, w(s, b, used) AS (SELECT a, b, [a] FROM e UNION ALL SELECT s, e.b, list_append(used, e.a) FROM w JOIN e ON w.b = e.a WHERE len(used) < 4 AND NOT list_contains(used, e.a)) SELECT s AS c, b AS d FROM w JOIN customer ON c_custkey = b"),
-}
-
 #: name -> (statements run before, query, SQL)
 UPDATES: dict[str, tuple[list[str], str, str]] = {
     "create_nodes": (["UNWIND range(1, 50) AS i CREATE (t:Tag {k: i, even: i % 2 = 0})"], "MATCH (t:Tag) RETURN t.even AS e, count(*) AS n, sum(t.k) AS s", "SELECT i % 2 = 0 AS e, count(*) AS n, sum(i)::BIGINT AS s FROM range(1, 51) t(i) GROUP BY 1"),
@@ -173,21 +174,21 @@ UPDATES: dict[str, tuple[list[str], str, str]] = {
 
 
 #: Declared graphs by application and folder: files are listed and schemas read once.
-_declared: dict[tuple[str, str, str], Graph] = {}
+_declared: dict[tuple[str, str], Graph] = {}
 
 
-def _session(spark: SparkSession, d: str, declare=star_graph) -> GraphSession:
-    key = (spark.sparkContext.applicationId, d, declare.__name__)
+def _session(spark: SparkSession, d: str) -> GraphSession:
+    key = (spark.sparkContext.applicationId, d)
     if key not in _declared:
-        _declared[key] = declare(spark, d)
+        _declared[key] = star_graph(spark, d)
     session = GraphSession(spark, _declared[key])
     # means of doubles depend on the order of addition; comparisons use four places
     session.register_function("round_", lambda v: (F.round(v[0], 4), "float"))
     return session
 
 
-def _case(text: str, declare=star_graph):
-    return lambda spark, d: _session(spark, d, declare).run(text, {"least": 150000})
+def _case(text: str):
+    return lambda spark, d: _session(spark, d).run(text, {"least": 150000})
 
 
 def _update(before: list[str], text: str):
@@ -201,9 +202,8 @@ def _update(before: list[str], text: str):
 
 
 def queries() -> dict:
-    whole = {**{n: _case(t) for n, (t, _) in WHOLE.items()}, **{n: _case(t, whole_graph) for n, (t, _) in WHOLE_REFERRED.items()}}
-    return {**{n: _case(t) for n, (t, _) in CASES.items()}, **whole, **{n: _update(b, t) for n, (b, t, _) in UPDATES.items()}}
+    return {**{n: _case(t) for n, (t, _) in CASES.items()}, **{n: _update(b, t) for n, (b, t, _) in UPDATES.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{n: s for n, (_, s) in {**CASES, **WHOLE, **WHOLE_REFERRED}.items() if s}, **{n: s for n, (*_, s) in UPDATES.items()}}
+    return {**{n: s for n, (_, s) in CASES.items() if s}, **{n: s for n, (*_, s) in UPDATES.items()}}

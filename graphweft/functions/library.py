@@ -2,6 +2,8 @@
 
 A value is (column, type). Types are names ('int', 'float', 'str', 'bool', 'date', 'localdatetime', 'duration', 'null', 'any')
 or tuples: ('list', item), ('map', ((key, type), ...)), ('node', props), ('rel', props), ('path', node, rel).
+Where values of unlike kinds meet in one column ('any'), each is a struct of its kind's rank, its number, its text and, for whole
+numbers, the exact one: in the struct's own order, kinds come in the order of the language and values of a kind in theirs.
 Nothing here runs Python on the executors.
 """
 
@@ -15,7 +17,15 @@ from graphweft.errors import QueryError
 NUMBERS = ("int", "float")
 ENTITIES = ("node", "rel")
 #: The Spark type of each scalar.
-SQL_TYPES = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean", "date": "date", "localdatetime": "timestamp_ntz", "null": "void", "any": "string", "duration": "struct<months:bigint,days:bigint,seconds:bigint,nanos:bigint>"}
+SQL_TYPES = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean", "date": "date", "localdatetime": "timestamp_ntz", "datetime": "struct<utc:bigint,offset:int,zone:string>", "time": "struct<utc:bigint,offset:int>", "localtime": "struct<nanos:bigint>", "null": "void", "any": "struct<rank:int,num:double,str:string,whole:bigint>", "duration": "struct<months:bigint,days:bigint,seconds:bigint,nanos:bigint>"}
+
+
+#: Fixed by the language: the order of kinds, from the least.
+RANKS = {"map": 1, "node": 2, "rel": 3, "list": 4, "path": 5, "datetime": 6, "localdatetime": 7, "date": 8, "time": 9, "localtime": 10, "duration": 11, "str": 12, "bool": 13, "int": 14, "float": 14}
+
+
+#: What a result shows as text.
+TEXT = ("any", "datetime", "time", "localtime")
 
 
 def kind(t) -> str:
@@ -42,12 +52,40 @@ def merge_types(a, b):
     return "any"
 
 
+def tagged(value) -> Column:
+    """A value with its kind beside it."""
+    x, t = value
+    if t == "any":
+        return x
+    none = F.lit(None)
+    if t == "null":
+        return none.cast(SQL_TYPES["any"])
+    number = x.cast("double") if t in (*NUMBERS, "bool") else none.cast("double")
+    text = none.cast("string") if t in (*NUMBERS, "bool") else x if t == "str" else F.to_json(x) if kind(t) in ("list", "map", "path", *ENTITIES) else to_string(value)[0]
+    made = F.struct(F.lit(RANKS.get(kind(t), 0)).cast("int").alias("rank"), number.alias("num"), text.alias("str"), (x if t == "int" else none.cast("bigint")).alias("whole"))
+    return F.when(x.isNotNull(), made)
+
+
+def of_kind(value, wanted: str) -> Column:
+    """What a value of unknown kind holds as a number, text or truth; null for other kinds."""
+    x, t = value
+    if t != "any":
+        return x
+    if wanted == "str":
+        return F.when(x["rank"] == RANKS["str"], x["str"])
+    if wanted == "bool":
+        return F.when(x["rank"] == RANKS["bool"], x["num"] == 1)
+    return F.when(x["rank"] == RANKS["int"], x["num"])
+
+
 def cast_to(value, t) -> Column:
     column, have = value
     if have == t or kind(t) in (*ENTITIES, "path"):
         return column
     if t == "any":
-        return to_string(value)[0]
+        return tagged(value)
+    if kind(t) == "list" and kind(have) == "list" and have[1] != "null":
+        return F.transform(column, lambda e: cast_to((e, have[1]), t[1]))
     return column.cast(sql_type(t))
 
 
@@ -58,6 +96,10 @@ def equal(a, b) -> tuple[Column, str]:
         return x["_id"] == y["_id"], "bool"
     if "null" in (s, t):
         return F.lit(None).cast("boolean"), "bool"
+    if "any" in (s, t):
+        x, y = tagged(a), tagged(b)
+        alike = F.when(x["rank"] != y["rank"], False).when(x["num"].isNotNull(), F.when(F.isnan(x["num"]) | F.isnan(y["num"]), False).otherwise(x["num"] == y["num"]) & F.coalesce(x["whole"] == y["whole"], F.lit(True))).otherwise(x["str"] == y["str"])
+        return F.when(x.isNotNull() & y.isNotNull(), alike), "bool"
     if kind(s) in NUMBERS and kind(t) in NUMBERS:
         same = x == y
         for c, k in ((x, s), (y, t)):
@@ -66,8 +108,6 @@ def equal(a, b) -> tuple[Column, str]:
         return same, "bool"
     if kind(s) == kind(t) == "list":
         m = merge_types(s, t)
-        if m[1] == "any":
-            return F.when(x.isNotNull() & y.isNotNull(), (F.size(x) == 0) & (F.size(y) == 0)), "bool"
         pairs = F.zip_with(cast_to(a, m), cast_to(b, m), lambda p, q: equal((p, m[1]), (q, m[1]))[0])
         return F.when(x.isNull() | y.isNull(), None).when(F.size(x) != F.size(y), False).when(F.exists(pairs, lambda p: ~p), False).when(F.exists(pairs, lambda p: p.isNull()), None).otherwise(True), "bool"
     if kind(s) == kind(t) == "map":
@@ -77,9 +117,9 @@ def equal(a, b) -> tuple[Column, str]:
         for k, v in s[1]:
             out = out & equal((x[k], v), (y[k], types[k]))[0]
         return out, "bool"
-    if kind(s) != kind(t) and "any" not in (s, t):
+    if kind(s) != kind(t):
         return F.when(x.isNotNull() & y.isNotNull(), False), "bool"
-    return (x == y) if s == t else (x.cast("string") == y.cast("string")), "bool"
+    return (x["utc"] == y["utc"] if s in ("datetime", "time") else x == y), "bool"
 
 
 def compare(op: str, a, b) -> tuple[Column, str]:
@@ -97,10 +137,15 @@ def compare(op: str, a, b) -> tuple[Column, str]:
         at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & (F.get(x, i) != F.get(y, i)))
         less = F.when(F.size(at) > 0, compare(op, (F.get(x, F.get(at, 0)), s[1]), (F.get(y, F.get(at, 0)), t[1]))[0]).otherwise(_ordered(op, F.size(x), F.size(y)))
         return F.when(x.isNull() | y.isNull() | F.exists(F.slice(x, 1, n), lambda e: e.isNull()) | F.exists(F.slice(y, 1, n), lambda e: e.isNull()), None).otherwise(less), "bool"
+    if "any" in (s, t) and "null" not in (s, t):
+        x, y = tagged(a), tagged(b)
+        both = x["rank"] == y["rank"]
+        number = F.when(both & ~F.isnan(x["num"]) & ~F.isnan(y["num"]), _ordered(op, x["num"], y["num"]))
+        return F.coalesce(number, F.when(both & x["num"].isNull(), _ordered(op, x["str"], y["str"]))), "bool"
     alike = kind(s) == kind(t) or {kind(s), kind(t)} <= set(NUMBERS)
     if not alike or kind(s) in (*ENTITIES, "map", "path"):
         return F.lit(None).cast("boolean"), "bool"
-    out = _ordered(op, x, y)
+    out = _ordered(op, x["utc"], y["utc"]) if s in ("datetime", "time") else _ordered(op, x, y)
     for c, k in ((x, s), (y, t)):
         if k == "float":
             out = F.when(F.isnan(c), None).otherwise(out)
@@ -134,16 +179,18 @@ def arithmetic(op: str, a, b) -> tuple[Column, object]:
         one = F.array(cast_to(other, m[1]))
         whole = cast_to(side, m)
         return (F.concat(whole, one) if kind(s) == "list" else F.concat(one, whole)), m
-    if op == "+" and "str" in (s, t) and {s, t} <= {"str", "int", "float", "null", "any", "bool"}:
+    if "any" in (s, t) and {kind(s), kind(t)} <= {"str", "bool", "any", *NUMBERS}:
+        return _mixed_arithmetic(op, a, b)
+    if op == "+" and "str" in (s, t) and {s, t} <= {"str", "int", "float", "null", "bool"}:
         return F.concat(to_string(a)[0], to_string(b)[0]), "str"
-    temporal = {"date", "localdatetime", "duration"} & {kind(s), kind(t)}
+    temporal = {"date", "localdatetime", "datetime", "time", "localtime", "duration"} & {kind(s), kind(t)}
     if temporal:
         from graphweft.functions import temporal as tm
 
         return tm.arithmetic(op, a, b)
     if "null" in (s, t):
         return F.lit(None).cast("double" if "float" in (s, t) else "bigint"), "float" if "float" in (s, t) else "int"
-    if not {kind(s), kind(t)} <= {*NUMBERS, "any"}:
+    if not {kind(s), kind(t)} <= set(NUMBERS):
         raise QueryError("InvalidArgumentType", f"{kind(s)} {op} {kind(t)}")
     if op == "^":
         return F.pow(x.cast("double"), y.cast("double")), "float"
@@ -161,6 +208,18 @@ def arithmetic(op: str, a, b) -> tuple[Column, object]:
     return F.when(y == 0, F.when(x.isNotNull(), nan)).otherwise(x % F.when(y != 0, y)), "float"
 
 
+def _mixed_arithmetic(op: str, a, b) -> tuple[Column, str]:
+    """Numbers as numbers (whole ones as such), text joined by +; null where the kinds don't go together."""
+    x, y = tagged(a), tagged(b)
+    whole = arithmetic(op, (x["whole"], "int"), (y["whole"], "int"))
+    number = arithmetic(op, (of_kind((x, "any"), "float"), "float"), (of_kind((y, "any"), "float"), "float"))
+    out = F.when(x["whole"].isNotNull() & y["whole"].isNotNull(), tagged(whole)).when((x["rank"] == RANKS["int"]) & (y["rank"] == RANKS["int"]), tagged(number))
+    if op == "+":
+        text = F.concat(to_string((x, "any"))[0], to_string((y, "any"))[0])
+        out = out.when((x["rank"] == RANKS["str"]) | (y["rank"] == RANKS["str"]), tagged((text, "str")))
+    return out, "any"
+
+
 def in_list(a, b) -> tuple[Column, str]:
     (x, s), (y, t) = a, b
     if t == "null":
@@ -194,12 +253,13 @@ def cut_list(a, low, high) -> tuple[Column, object]:
 
 def to_string(a) -> tuple[Column, str]:
     x, t = a
-    if t == "duration":
+    if t == "any":
+        whole = F.when(x["whole"].isNotNull(), x["whole"].cast("string")).otherwise(x["num"].cast("string"))
+        return F.when(x["rank"] == RANKS["int"], whole).when(x["rank"] == RANKS["bool"], (x["num"] == 1).cast("string")).otherwise(x["str"]), "str"
+    if t in ("duration", "localdatetime", "datetime", "time", "localtime"):
         from graphweft.functions import temporal as tm
 
-        return tm.duration_text(x), "str"
-    if t == "localdatetime":
-        return F.regexp_replace(x.cast("string"), " ", "T"), "str"
+        return tm.text(a), "str"
     return x.cast("string"), "str"
 
 
@@ -237,7 +297,7 @@ def _math(build, out=None):
             return F.lit(None).cast("double"), out or "float"
         if kind(t) not in (*NUMBERS, "any"):
             raise QueryError("InvalidArgumentType", "a number is needed")
-        return build(x), out or t
+        return build(of_kind(args[0], "float")), out or ("float" if t == "any" else t)
 
     return run
 
@@ -246,7 +306,7 @@ def _string(build, out="str"):
     def run(args):
         if not _text(args):
             return F.lit(None).cast(sql_type(out)), out
-        return build(*(a[0] for a in args)), out
+        return build(of_kind(args[0], "str"), *(of_kind(a, "str") if a[1] == "any" else a[0] for a in args[1:])), out
 
     return run
 
@@ -257,11 +317,11 @@ def _size(args):
         return F.size(x).cast("bigint"), "int"
     if kind(t) == "path":
         raise QueryError("InvalidArgumentType", "size of a path")
-    return F.length(x.cast("string")).cast("bigint"), "int"
+    return F.length(of_kind(args[0], "str").cast("string")).cast("bigint"), "int"
 
 
 def _reverse(args):
-    return F.reverse(args[0][0]), args[0][1]
+    return (F.reverse(of_kind(args[0], "str")), "str") if args[0][1] == "any" else (F.reverse(args[0][0]), args[0][1])
 
 
 def _list(build, item=True):
@@ -294,6 +354,9 @@ def _coalesce(args):
 
 def _to_integer(args):
     x, t = args[0]
+    if t == "any":
+        number, text = of_kind(args[0], "float"), of_kind(args[0], "str")
+        return F.coalesce(x["whole"], *(_to_integer([v])[0] for v in ((number, "float"), (text, "str"), (of_kind(args[0], "bool"), "bool")))), "int"
     if t == "bool":
         return x.cast("bigint"), "int"
     if kind(t) in ("list", "map", "node", "rel", "path"):
@@ -306,6 +369,8 @@ def _to_integer(args):
 
 def _to_float(args):
     x, t = args[0]
+    if t == "any":
+        return F.coalesce(of_kind(args[0], "float"), of_kind(args[0], "str").try_cast("double")), "float"
     if kind(t) in ("bool", "list", "map", "node", "rel", "path"):
         raise QueryError("TypeError", "toFloat")
     return x.try_cast("double"), "float"
@@ -313,6 +378,8 @@ def _to_float(args):
 
 def _to_boolean(args):
     x, t = args[0]
+    if t == "any":
+        return F.coalesce(of_kind(args[0], "bool"), *(_to_boolean([v])[0] for v in ((x["whole"], "int"), (of_kind(args[0], "str"), "str")))), "bool"
     if t == "bool":
         return x, t
     if t == "int":
@@ -380,7 +447,7 @@ def _length(args):
 def _substring(args):
     if not _text(args):
         return F.lit(None).cast("string"), "str"
-    x, at = args[0][0], args[1][0].cast("int")
+    x, at = of_kind(args[0], "str"), args[1][0].cast("int")
     n = args[2][0].cast("int") if len(args) > 2 else F.length(x)
     return F.when((at >= 0) & (n >= 0), F.substring(x, at + 1, n)), "str"
 
@@ -445,6 +512,8 @@ def aggregate(name: str, args: list, distinct: bool, star: bool) -> tuple[Column
         return (F.min(x) if name == "min" else F.max(x)), t
     if kind(t) not in (*NUMBERS, "null", "any", "duration"):
         raise QueryError("InvalidArgumentType", f"{name} of {kind(t)}")
+    if t == "any":
+        x, t = of_kind(args[0], "float"), "float"
     if name == "sum":
         out = t if t in NUMBERS else "int"
         return F.coalesce(F.sum_distinct(x) if distinct else F.sum(x), F.lit(0)).cast(sql_type(out)), out
@@ -453,15 +522,25 @@ def aggregate(name: str, args: list, distinct: bool, star: bool) -> tuple[Column
     raise QueryError("UnknownFunction", name)
 
 
-def percentile(name: str, value, share: float) -> tuple[Column, object]:
-    """percentileDisc: rank ceil(share * n), at least 1; percentileCont: interpolated at share * (n - 1)."""
+def percentile(name: str, value, share: float, distinct: bool, column: str) -> tuple[Column, object]:
+    """percentileDisc: rank ceil(share * n), at least 1; percentileCont: interpolated at share * (n - 1). ``column`` is a name for the value's column.
+
+    Groups are counts by value, merged before and after the shuffle, not lists of rows.
+    """
     if not 0 <= share <= 1:
         raise QueryError("NumberOutOfRange", str(share))
     x, t = value
-    if name == "percentilecont":
-        return F.percentile(x.cast("double"), share), "float"
-    items = F.array_sort(F.collect_list(x))
-    return F.get(items, F.greatest(F.ceil(F.size(items) * F.lit(share)), F.lit(1)).cast("int") - 1), t
+    if not distinct:
+        if name == "percentilecont":
+            return F.percentile(x.cast("double"), share), "float"
+        if t in NUMBERS:
+            return F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY `{column}`)").cast(sql_type(t)), t
+    items = F.array_sort(F.collect_set(x) if distinct else F.collect_list(x))
+    if name == "percentiledisc":
+        return F.get(items, F.greatest(F.ceil(F.size(items) * F.lit(share)), F.lit(1)).cast("int") - 1), t
+    at = (F.size(items) - 1) * F.lit(share)
+    low, high = (F.get(items, f(at).cast("int")).cast("double") for f in (F.floor, F.ceil))
+    return low + (high - low) * (at - F.floor(at)), "float"
 
 
 def quantifier(name: str, holds, lists: Column) -> Column:
@@ -517,3 +596,13 @@ def order_key(value, down: bool) -> list:
     x = x["_id"] if kind(t) in ENTITIES else x
     return [x.desc_nulls_first() if down else x.asc_nulls_last()]
 
+
+
+def shown(value) -> tuple[Column, object]:
+    """As a result has it: values of unlike kinds in one column, and what Spark has no type for, are text there."""
+    x, t = value
+    if t in TEXT:
+        return to_string(value)
+    if kind(t) == "list" and t[1] in TEXT:
+        return F.transform(x, lambda e: to_string((e, t[1]))[0]), ("list", "str")
+    return value

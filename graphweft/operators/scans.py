@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions.library import merge_types, sql_type
+from graphweft.functions.library import cast_to, merge_types, sql_type
 from graphweft.sources.graph import Graph
 
 SEP = "$"
@@ -29,7 +29,7 @@ def property_types(tables, wanted) -> dict:
 
 def _columns(table, types: dict, prefix: str) -> list:
     own = dict(table.props)
-    return [(F.col(f"`{n}`").cast(sql_type(t)) if n in own and own[n] != t else F.col(f"`{n}`") if n in own else F.lit(None).cast(sql_type(t))).alias(f"{prefix}{SEP}{n}") for n, t in types.items()]
+    return [(cast_to((F.col(f"`{n}`"), own[n]), t) if n in own and own[n] != t else F.col(f"`{n}`") if n in own else F.lit(None).cast(sql_type(t))).alias(f"{prefix}{SEP}{n}") for n, t in types.items()]
 
 
 def nodes(graph: Graph, labels, prefix: str, wanted, kinds=None) -> tuple[DataFrame, dict, list]:

@@ -32,7 +32,7 @@ class Var:
     column: str
     type: object
     flat: bool = False
-    kinds: tuple | None = None  # label sets that a node can have
+    kinds: tuple | None = None  # label sets that a node can have; types of a relationship
 
 
 @dataclass
@@ -65,6 +65,7 @@ class Planner:
         self.names = [0]
         self.rows = Rows(graph.spark.range(1).select(), {}, True)
         self.lambdas: list[dict] = []
+        self.virtual: str | None = None  # a node bound outside whose rows are the edges of the one step from it
 
     # names and values
     def fresh(self, base: str = "c") -> str:
@@ -110,7 +111,7 @@ class Planner:
             return F.lit(None).cast("boolean")
         if t not in ("bool", "any"):
             raise QueryError("InvalidArgumentType", f"a condition, not {L.kind(t)}")
-        return c
+        return L.of_kind((c, t), "bool")
 
     def _lit(self, v):
         return L.literal(v)
@@ -163,7 +164,7 @@ class Planner:
         (x, s), (y, t) = self.expr(a), self.expr(b)
         if s not in ("str", "any") or t not in ("str", "any"):
             return F.lit(None).cast("boolean"), "bool"
-        return test(x, y), "bool"
+        return test(L.of_kind((x, s), "str"), L.of_kind((y, t), "str")), "bool"
 
     def _in(self, a, b):
         return L.in_list(self.expr(a), self.expr(b))
@@ -179,6 +180,8 @@ class Planner:
         return self.at(var, "_id") if var is not None and var.flat else self.expr(a)[0]
 
     def _prop(self, a, name):
+        if a[0] == "call" and a[1] in ("startnode", "endnode") and len(a[2]) == 1:
+            return self.field(self._end(a[1], a[2], {name}), name)
         if a[0] == "var" and not any(a[1] in s for s in self.lambdas):
             var = self.rows.scope.get(a[1])
             if var is not None and var.flat:
@@ -191,7 +194,7 @@ class Planner:
         if L.kind(t) in ("node", "rel", "map"):
             types = dict(t[1])
             return (c[name], types[name]) if name in types else (F.lit(None), "null")
-        if t in ("date", "localdatetime", "duration"):
+        if t in (*temporal.KINDS, "duration"):
             return temporal.accessor(value, name)
         if t in ("null", "any"):
             return F.lit(None), "null"
@@ -303,7 +306,7 @@ class Planner:
         if name in ("startnode", "endnode"):
             return self._end(name, args)
         if name.endswith(".truncate") and args and args[0][0] == "lit":
-            return temporal.truncate(args[0][1], self.expr(args[1]), name.split(".")[0]), "date" if name.startswith("date.") else "localdatetime"
+            return temporal.truncate(args[0][1], self.expr(args[1]), name.split(".")[0], self.expr(args[2]) if len(args) > 2 else None)
         if name == "id" and args and args[0][0] == "var" and args[0][1] in self.rows.scope and self.rows.scope[args[0][1]].flat:
             return self.at(self.rows.scope[args[0][1]], "_id"), "int"
         if name in ("type", "labels") and args and args[0][0] == "var" and args[0][1] in self.rows.scope and self.rows.scope[args[0][1]].flat:
@@ -314,22 +317,49 @@ class Planner:
                 return self.at(var, "_labels"), ("list", "str")
         return L.call(name, [self.expr(a) for a in args])
 
-    def _end(self, name, args):
-        """The node at an end of a relationship, joined in by its id."""
-        c, t = self.expr(args[0])
-        if L.kind(t) != "rel":
-            raise QueryError("InvalidArgumentType", name)
-        var = self.add((c["_src" if name == "startnode" else "_dst"], "int"))
+    def _end(self, name, args, wanted=None):
+        """The node at an end of a relationship, joined in by its id from the tables that hold such ends, with the properties ``wanted`` (None: all)."""
+        var = self.rows.scope.get(args[0][1]) if args[0][0] == "var" and not any(args[0][1] in s for s in self.lambdas) else None
+        side, kinds = "_src" if name == "startnode" else "_dst", None
+        if var is not None and var.flat and var.type[0] == "rel":
+            at = self.at(var, side)
+            ends = [t.src if side == "_src" else t.dst for t in self.graph.edges if not var.kinds or t.type in var.kinds]
+            kinds = set(ends) if None not in ends else None
+        else:
+            c, t = self.expr(args[0])
+            if L.kind(t) != "rel":
+                raise QueryError("InvalidArgumentType", name)
+            at = c[side]
+        end = self.add((at, "int"))
         prefix = self.fresh("n")
-        found, types, kinds = scans.nodes(self.graph, (), prefix, None)
-        self.rows.df = self.rows.df.join(found, F.col(var.column) == F.col(f"{prefix}{SEP}_id"), "left")
+        found, types, held = scans.nodes(self.graph, (), prefix, wanted, kinds)
+        self.rows.df = self.rows.df.join(found, F.col(end.column) == F.col(f"{prefix}{SEP}_id"), "left")
         hold = self.fresh("h")
-        self.rows.scope[hold] = Var(prefix, ("node", tuple(types.items())), True, tuple(kinds))
+        self.rows.scope[hold] = Var(prefix, ("node", tuple(types.items())), True, tuple(held))
         out = self.value(hold)
         del self.rows.scope[hold]
         return out
 
     # subqueries
+    def _one_step(self, part: Part, used: tuple) -> tuple[Planner, list[str]] | None:
+        """For a pattern of one step from a bound node of which nothing but its identity is read: a planner over all edges, to be joined by
+        the node's id, so that the rows outside are planned once. None for other patterns."""
+        if len(part.rels) != 1 or part.var or part.rels[0].hops is not None or part.rels[0].var in self.rows.scope:
+            return None
+        bound = [k for k in (0, 1) if part.nodes[k].var in self.rows.scope]
+        if len(bound) != 1:
+            return None
+        near = part.nodes[bound[0]]
+        var = self.rows.scope[near.var]
+        read = needs((part.rels[0], part.nodes[1 - bound[0]], *used))
+        if not var.flat or near.labels or near.props or any(n in self.rows.scope for n in read):
+            return None
+        inner = Planner(self.graph, self.params, read, self.functions)
+        inner.names = self.names
+        inner.rows = Rows(self.rows.df, {near.var: replace(var, type=("node", ()))}, True)
+        inner.virtual = near.var
+        return inner, [f"{var.column}{SEP}_id"]
+
     def _inner(self, tree) -> tuple[Planner, list[str]]:
         """A planner over the distinct values of what ``tree`` reads from outside."""
         inside = needs(tree)
@@ -357,7 +387,8 @@ class Planner:
         found = found.select(*(F.col(f"`{c}`").alias(renamed.get(c, c)) for c in found.columns))
         on = F.lit(True)
         for k, r in renamed.items():
-            on = on & same(F.col(f"`{k}`"), F.col(r)) if on is not None else None
+            here, there = F.col(f"`{k}`"), F.col(r)
+            on = on & (here == there if len(keys) == 1 and k.endswith(f"{SEP}_id") else same(here, there))  # a node's id alone is never null there
         self.rows.df = self.rows.df.join(found, on, how).drop(*renamed.values())
 
     def _exists(self, clause, bare):
@@ -374,7 +405,8 @@ class Planner:
                 for x in (*part.nodes, *part.rels):
                     if x.var and not x.var.startswith("__anon") and x.var not in self.rows.scope:
                         raise QueryError("UndefinedVariable", x.var)
-        inner, keys = self._inner(clause if isinstance(clause, tuple) else clause)
+        alone = isinstance(clause, Clause) and len(first.parts) == 1
+        inner, keys = (alone and self._one_step(first.parts[0], (first.where,) if first.where else ())) or self._inner(clause)
         inner.match(first)
         if isinstance(clause, tuple):
             for c in clause[1:]:
@@ -387,7 +419,7 @@ class Planner:
         return inner.rows.df, keys
 
     def _patcomp(self, part, where, out):
-        inner, keys = self._inner(("patcomp", part, where, out))
+        inner, keys = self._one_step(part, tuple(x for x in (where, out) if x)) or self._inner(("patcomp", part, where, out))
         inner.match(Clause("match", (part,), where))
         c, t = inner.expr(out)
         item, made = self.fresh("i"), self.fresh("l")
@@ -408,7 +440,7 @@ class Planner:
         if sub[0] == "exists":
             found, keys = self._found(sub[1], sub[2])
             if keys:
-                self._back(found.select(*(F.col(f"`{k}`") for k in keys)).distinct(), keys, "left_anti" if inverse else "left_semi")
+                self._back(found.select(*(F.col(f"`{k}`") for k in keys)), keys, "left_anti" if inverse else "left_semi")
                 return
         if self._has_aggregate(e):
             raise QueryError("InvalidAggregation", "in WHERE")
@@ -422,8 +454,9 @@ class Planner:
         before = set(self.rows.scope)
         rels: list[tuple[str, bool, frozenset]] = []
         waiting = list(clause.parts)
-        while waiting:  # parts that share a variable with what is bound come first
-            part = next((p for p in waiting if any(n.var in self.rows.scope for n in p.nodes)), waiting[0])
+        while waiting:  # parts that share a variable with what is bound come first, and of those the ones that stay near the size of their tables
+            shares = [p for p in waiting if any(n.var in self.rows.scope for n in p.nodes)]
+            part = min(shares or waiting, key=self._hubs)
             waiting.remove(part)
             self._part(part, rels)
         for i, (a, long_a, kinds_a) in enumerate(rels):
@@ -436,7 +469,8 @@ class Planner:
             self.filter(clause.where)
 
     def optional(self, clause: Clause) -> None:
-        inner, keys = self._inner((clause.parts, clause.where or ()))
+        step = self._one_step(clause.parts[0], (clause.where,) if clause.where else ()) if len(clause.parts) == 1 else None
+        inner, keys = step or self._inner((clause.parts, clause.where or ()))
         inner.wanted = {k: self.wanted.get(k, set()) | v for k, v in {**{k: set() for k in self.wanted}, **inner.wanted}.items()}
         known = dict(inner.rows.scope)
         inner.match(replace(clause, optional=False))
@@ -455,7 +489,9 @@ class Planner:
         bound = [k for k, n in enumerate(part.nodes) if n.var in self.rows.scope]
         start = bound[0] if bound else max(range(len(part.nodes)), key=lambda k: (bool(part.nodes[k].props), self._held_steps(part, k), bool(part.nodes[k].labels), -k))
         p = part.nodes[start]
-        if p.var in self.rows.scope:
+        if p.var == self.virtual:
+            pass
+        elif p.var in self.rows.scope:
             self._bound_node(p)
         else:
             df, var = self._scan(p)
@@ -482,6 +518,20 @@ class Planner:
             n += r.hops is None and b.var not in self.rows.scope and scans.holding(self.graph, r.types, direction, None, b.labels, a.labels) is not None
         return n
 
+    def _hubs(self, part: Part) -> int:
+        """Nodes of a part, not bound yet, that many rows point to from either side: as many rows as the product meet there."""
+        n = 0
+        for k in range(1, len(part.rels)):
+            here = part.nodes[k]
+            if here.var in self.rows.scope:
+                continue
+            many = 0
+            for r, far, turned in ((part.rels[k - 1], part.nodes[k - 1], True), (part.rels[k], part.nodes[k + 1], False)):
+                direction = {"out": "in", "in": "out"}.get(r.direction, r.direction) if turned else r.direction
+                many += far.var not in self.rows.scope and r.hops is None and scans.holding(self.graph, r.types, direction, None, far.labels, here.labels) is not None
+            n += many == 2
+        return n
+
     def _bound_node(self, p: NodePattern) -> None:
         var = self.rows.scope[p.var]
         if L.kind(var.type) != "node":
@@ -528,8 +578,11 @@ class Planner:
                 self._bound_node(b)
                 target = self.rows.scope[b.var]
             on = on & (self.at(target, "_id") == F.col(f"{prefix}{SEP}_b"))
-        self.rows.df = self.rows.df.join(df, on)
-        self.rows.scope[r.var] = Var(prefix, ("rel", tuple(types.items())), True)
+        if a.var == self.virtual:
+            self.rows.df, self.rows.unit, self.virtual = df.withColumn(f"{here.column}{SEP}_id", F.col(f"{prefix}{SEP}_a")), False, None
+        else:
+            self.rows.df = self.rows.df.join(df, on)
+        self.rows.scope[r.var] = Var(prefix, ("rel", tuple(types.items())), True, tuple(r.types))
         rels.append((f"{prefix}{SEP}_id", False, frozenset(r.types or self.graph.types())))
         self._inline(r)
         if whole_rows:
@@ -566,7 +619,7 @@ class Planner:
         if b.var in self.rows.scope:
             self._bound_node(b)
             self.rows.df = self.rows.df.filter(self.at(self.rows.scope[b.var], "_id") == far)
-        elif ends and None not in ends and len(ends) == 1 and self.wants(b.var) == set():
+        elif ends and None not in ends and len(ends) == 1 and set(b.labels) <= ends[0] and self.wants(b.var) == set():
             prefix = self.fresh("n")
             labels = F.array(*(F.lit(x) for x in sorted(ends[0]))).cast("array<string>")
             self.rows.df = self.rows.df.withColumns({f"{prefix}{SEP}_id": far, f"{prefix}{SEP}_labels": labels})
@@ -583,7 +636,8 @@ class Planner:
         here = self.rows.scope[a.var]
         listed = whole or (not r.var.startswith("__anon") and (self.wanted.get(r.var) or ALL in self.wanted))
         prefix = self.fresh("r")
-        df, types, _ = scans.edges(self.graph, r.types, direction, prefix, None if listed else {k for k, _ in (r.props[1] if r.props else ())})
+        df, types, ends = scans.edges(self.graph, r.types, direction, prefix, None if listed else {k for k, _ in (r.props[1] if r.props else ())})
+        ends = None if None in ends else ends
         for key, e in r.props[1] if r.props else ():
             if e[0] not in ("lit", "param"):
                 raise QueryError("InvalidArgumentType", "only literals on relationships of variable length")
@@ -594,7 +648,7 @@ class Planner:
         steps = df.select(F.col(f"{prefix}{SEP}_a").alias("_a"), F.col(f"{prefix}{SEP}_b").alias("_b"), F.col(f"{prefix}{SEP}_id").alias("_e"), *([rel.alias("_rel")] if listed else []))
         if whole:
             p2 = self.fresh("n")
-            every, ntypes, _ = scans.nodes(self.graph, (), p2, None)
+            every, ntypes, _ = scans.nodes(self.graph, (), p2, None, None if ends is None else set(ends))
             node = F.struct(*(F.col(f"{p2}{SEP}{f}").alias(f) for f in ("_id", "_labels", *ntypes)))
             steps = steps.join(every.select(F.col(f"{p2}{SEP}_id").alias("_n"), node.alias("_node")), F.col("_b") == F.col("_n")).drop("_n")
         cur, ids, lists, nodes = self.fresh("cur"), self.fresh("ids"), self.fresh("rels"), self.fresh("nodes")
@@ -628,7 +682,9 @@ class Planner:
         rels.append((ids, True, frozenset(r.types or self.graph.types())))
         if listed and not r.var.startswith("__anon"):
             self.rows.scope[r.var] = Var(lists, ("list", ("rel", tuple(types.items()))))
-        self._arrive(b, cur, None)
+        if low == 0 and ends is not None:  # the walk may end where it began
+            ends = None if here.kinds is None else list(dict.fromkeys([*ends, *here.kinds]))
+        self._arrive(b, cur, ends)
         return ("many", lists, tuple(types.items()), nodes if whole else None, tuple(ntypes.items()) if whole else ())
 
     def _path(self, part: Part, pieces: dict[int, tuple], start: int) -> tuple[Column, object]:
@@ -756,7 +812,7 @@ class Planner:
     def finish(self, made: dict[str, Var]) -> None:
         """The result: one column for each name, entities as structs."""
         self.rows.scope = made
-        self.rows.df = self.rows.df.select(*(self.value(n)[0].alias(n) for n in made))
+        self.rows.df = self.rows.df.select(*(L.shown(self.value(n))[0].alias(n) for n in made))
         self.rows.scope = {n: Var(n, v.type) for n, v in made.items()}
 
     def constant(self, e: tuple) -> int:
@@ -819,7 +875,15 @@ class Planner:
             name = self.fresh("g")
             if e[1] in ("percentiledisc", "percentilecont"):
                 share = e[2][1][1] if e[2][1][0] == "lit" else self.params.get(e[2][1][1]) if e[2][1][0] == "param" else None
-                value = (F.max(F.lit(None).cast("double")), "float") if share is None else L.percentile(e[1], self.expr(e[2][0]), float(share))
+                if share is None:
+                    value = F.max(F.lit(None).cast("double")), "float"
+                else:
+                    of = self.expr(e[2][0])
+                    if L.kind(of[1]) not in (*L.NUMBERS, "null", "any"):
+                        raise QueryError("InvalidArgumentType", f"{e[1]} of {L.kind(of[1])}")
+                    of = (L.of_kind(of, "float"), "float") if of[1] in ("any", "null") else of
+                    held = self.add((of[0].cast(L.sql_type(of[1])), of[1]))
+                    value = L.percentile(e[1], (F.col(held.column), of[1]), float(share), e[3], held.column)
             else:
                 value = L.aggregate(e[1], [self.expr(a) if not (e[1] == "count" and self._is_flat(a)) else (self._present(a), "int") for a in e[2]], e[3], e[4])
             out.append((value[0], name, value[1]))

@@ -113,7 +113,7 @@ def _with_value(df: DataFrame, props: tuple, updates: DataFrame, name: str, t) -
     joined = df.join(updates, df["_id"] == updates["_u"], "left")
     if name in own:
         m = L.merge_types(own[name], t)
-        value = F.when(F.col("_u").isNotNull(), F.col("_v").cast(L.sql_type(m))).otherwise(F.col(f"`{name}`").cast(L.sql_type(m)) if m != own[name] else F.col(f"`{name}`"))
+        value = F.when(F.col("_u").isNotNull(), L.cast_to((F.col("_v"), t), m)).otherwise(L.cast_to((F.col(f"`{name}`"), own[name]), m))
         own[name] = m
     else:
         own[name], value = t, F.col("_v")
@@ -325,7 +325,7 @@ def merge(p: Planner, clause: Clause) -> None:
                 types[k] = L.merge_types(types.get(k, t), t)
         hidden = ("_id", "_labels") if met_scope[v].type[0] == "node" else ("_id", "_src", "_dst", "_type")
         frames = [
-            (f.withColumns({**{f"{prefix}{SEP}{h}": F.col(f"`{s[v].column}{SEP}{h}`") for h in hidden}, **{f"{prefix}{SEP}{k}": (F.col(f"`{s[v].column}{SEP}{k}`").cast(L.sql_type(t)) if k in dict(s[v].type[1]) else F.lit(None).cast(L.sql_type(t))) for k, t in types.items()}}), s)
+            (f.withColumns({**{f"{prefix}{SEP}{h}": F.col(f"`{s[v].column}{SEP}{h}`") for h in hidden}, **{f"{prefix}{SEP}{k}": (L.cast_to((F.col(f"`{s[v].column}{SEP}{k}`"), dict(s[v].type[1])[k]), t) if k in dict(s[v].type[1]) else F.lit(None).cast(L.sql_type(t))) for k, t in types.items()}}), s)
             for f, s in frames
         ]
         out_scope[v] = Var(prefix, (met_scope[v].type[0], tuple(types.items())), True)

@@ -34,6 +34,8 @@ def type_of(t: T.DataType):
         names = tuple(t.names)
         if names == ("months", "days", "seconds", "nanos"):
             return "duration"
+        if names in (("utc", "offset", "zone"), ("utc", "offset"), ("nanos",)):
+            return {3: "datetime", 2: "time", 1: "localtime"}[len(names)]
         return ("map", tuple((f.name, type_of(f.dataType)) for f in t.fields))
     return "str"
 

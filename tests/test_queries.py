@@ -36,6 +36,16 @@ def mixed(spark):
 
 
 CASES = [
+    ("RETURN 1 IN ['1', 2] AS a, '1' IN ['1', 2] AS b, 3 IN [1, null, 'x'] AS c, [1, 'a'] = ['1', 'a'] AS d, [1, 'a'] = [1, 'a'] AS e", [(False, True, None, False, True)]),
+    ("UNWIND [10, 9, 'z', true, 2.5, null] AS x RETURN x ORDER BY x", [("z",), ("true",), ("2.5",), ("9",), ("10",), (None,)]),
+    ("UNWIND [1, 'a', 2] AS x RETURN max(x) AS a, min(x) AS b", [("2", "a")]),
+    ("RETURN [1, 'a'][0] + 1 AS a, [1, 'a'][1] + 1 AS b, toInteger(['7', 2][0]) AS c, size(['abc', 2][0]) AS d", [("2", "a1", 7, 3)]),
+    ("UNWIND [1, 1, 1, 1, 5, 9] AS x RETURN percentileDisc(x, 0.5) AS a, percentileDisc(DISTINCT x, 0.5) AS b, percentileCont(DISTINCT x, 0.5) AS c", [(1, 5, 5.0)]),
+    ("MATCH (a:Person)-[:KNOWS]->(b) WHERE EXISTS { (a)-[:LIVES_IN]->(c) WHERE c.id > b.id } RETURN b.id AS b ORDER BY b", [(2,), (3,)]),
+    ("MATCH (a:Person {id: 2}) OPTIONAL MATCH (a)-[:LIVES_IN]->(b) OPTIONAL MATCH (b)<-[:KNOWS]-(c) RETURN a.id AS a, b.id AS b, c.id AS c", [(2, None, None)]),
+    ("MATCH (a)-[:KNOWS*1..2]->(b:City) RETURN b.id AS b", []),
+    ("RETURN toString(localtime('12:31:14.645876123')) AS a, toString(time('12:31:14-0130')) AS b, time('10:00+01:00') = time('09:00Z') AS c, toString(localtime('23:00') + duration('PT2H')) AS d", [("12:31:14.645876123", "12:31:14-01:30", True, "01:00")]),
+    ("RETURN toString(datetime('2015-07-21T21:40:32.142+0100')) AS a, toString(datetime('2015-07-21T21:40[Europe/Stockholm]')) AS b, toString(date.truncate('month', date('2020-05-20'), {day: 5})) AS c", [("2015-07-21T21:40:32.142+01:00", "2015-07-21T21:40+02:00[Europe/Stockholm]", "2020-05-05")]),
     ("MATCH (a:Person)-[:KNOWS]->(b) RETURN b.name AS n ORDER BY n", [("name2",), ("name3",)]),
     ("MATCH (a)-[r]->(b) RETURN type(r) AS t, count(*) AS n ORDER BY t", [("KNOWS", 2), ("LIVES_IN", 2)]),
     ("MATCH (a {id: 2})--(b) RETURN b.id AS b", [(1,)]),
