@@ -14,17 +14,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.llm import shingles as S
-from graphweft.llm.common import partitions, runs, table
-from graphweft.llm.induced import repeated_starts
+from graphweft.llm.common import partitions, table
+from graphweft.llm.induced import BUDGET, IN_MEMORY, Shard
 
 LENGTH, GRAM = 400, 32
 #: Bytes hashed at once; bytes of segments that are sorted as one shard, unless one anchor has more.
 CHUNK, SHARD = 1 << 20, 1 << 20
+#: Segments that move at once.
+ROWS = 1024
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -100,35 +101,50 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return texts.join(asked, ["dk", "ver"]).select("text", "asked").mapInArrow(run, "h long, g1 long, g2 long, bytes binary")
 
 
-def _repeats(segments: DataFrame, length: int) -> DataFrame:
-    """h, g1, g2, ranges: runs of windows (by their starts within the segment) that repeat among contents of one anchor."""
+def _repeats(segments: DataFrame, length: int, budget: int, in_memory: int) -> DataFrame:
+    """h, g1, g2, ranges: runs of windows (by their starts within the segment) that repeat among contents of one anchor.
 
-    def sort(have, out):
-        found = repeated_starts(have.column("bytes").to_pylist(), length)
-        h, g1, g2 = (have.column(c).to_numpy() for c in ("h", "g1", "g2"))
-        for k, mark in enumerate(found):
+    Segments stream into a shard, which is sorted when it holds SHARD bytes and the anchor changes; a shard of any size is.
+    """
+
+    def sort(shard, names):
+        out = []
+        for (h, g1, g2), mark in zip((x for part in names for x in part.tolist()), shard.repeated(length)):
             turn = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
             if len(turn):
-                out.append({"h": int(h[k]), "g1": int(g1[k]), "g2": int(g2[k]), "ranges": [{"a": int(a), "b": int(b) - 1} for a, b in zip(turn[::2], turn[1::2])]})
+                out.append({"h": h, "g1": g1, "g2": g2, "ranges": [{"a": int(a), "b": int(b) - 1} for a, b in zip(turn[::2], turn[1::2])]})
+            if len(out) >= ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
     def run(batches):
-        for have, bounds in runs(batches, ["h"]):
-            upto = np.concatenate([[0], np.cumsum(pc.binary_length(have.column("bytes")).to_numpy())])[bounds]
-            k = 0
-            while k < len(bounds) - 1:  # whole groups, SHARD bytes of them or one
-                j = max(k + 1, int(np.searchsorted(upto, upto[k] + SHARD, side="right")) - 1)
-                out: list[dict] = []
-                sort(have.slice(int(bounds[k]), int(bounds[j] - bounds[k])), out)
-                yield pa.RecordBatch.from_pylist(out, schema)
-                k = j
+        shard, names, last = Shard(budget, in_memory), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = np.stack([batch.column(c).to_numpy() for c in ("h", "g1", "g2")], axis=1)
+            edges = np.flatnonzero(name[1:, 0] != name[:-1, 0]) + 1
+            bounds = [0, *edges.tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                if shard.bytes >= SHARD and name[a, 0] != last:  # whole groups only
+                    yield from sort(shard, names)
+                    shard, names = Shard(budget, in_memory), []
+                for k in range(a, b, ROWS):
+                    some = slice(k, min(k + ROWS, b))
+                    shard.add(batch.column("bytes").slice(k, some.stop - k).to_pylist())
+                    names.append(name[some])
+                last = name[a, 0]
+        if names:
+            yield from sort(shard, names)
 
     shards = segments.repartition(partitions(segments.sparkSession), "h").sortWithinPartitions("h", "g1", "g2")
     return shards.mapInArrow(run, "h long, g1 long, g2 long, ranges array<struct<a: long, b: long>>")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, budget: int = BUDGET, in_memory: int = IN_MEMORY) -> DataFrame:
     """dk, ver, cuts: for each document with repeated strings the byte ranges (from, to) that they cover, unmerged."""
     every = table(_segments(docs, length, gram), "suffix-anchors")
     met = table(every.groupBy("h").count().where("count > 1").select("h"), "suffix-met")
@@ -138,7 +154,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mixed = table(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"), "suffix-mixed")
     wanted = contents.join(mixed, "h", "left_semi").select("rep.*", "h", "g1", "g2")
     segments = table(_fetch(docs, wanted, length).dropDuplicates(["h", "g1", "g2"]), "suffix-segments")
-    sorted_ = _repeats(segments, length)
+    sorted_ = _repeats(segments, length, budget, in_memory)
     whole = contents.where("n > 1").select("h", "g1", "g2", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("rep.s1") - F.col("rep.s0")).alias("b"))).alias("ranges"))
     found = table(sorted_.unionByName(whole), "suffix-repeats")
     back = every.join(found, ["h", "g1", "g2"]).select("dk", "ver", F.explode(F.transform("ranges", lambda r: F.struct((F.col("s0") + r["a"]).alias("lo"), (F.col("s0") + r["b"] + length).alias("hi")))).alias("cut"))
@@ -164,16 +180,16 @@ def _left(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _marked(docs: DataFrame, length: int, gram: int, keep: list[str]) -> DataFrame:
+def _marked(docs: DataFrame, length: int, gram: int, keep: list[str], budget: int = BUDGET, in_memory: int = IN_MEMORY) -> DataFrame:
     """The columns ``keep``, and under names of their own the text's bytes, whether it is null, and its cuts."""
     own = ["__text", "__null", "__cuts"]
-    cuts = table(repeated_ranges(docs, length, gram), "suffix-cuts").toDF("__dk", "__ver", "__cuts")
+    cuts = table(repeated_ranges(docs, length, gram, budget, in_memory), "suffix-cuts").toDF("__dk", "__ver", "__cuts")
     dk, ver = _row(docs)
     texts = docs.select(dk.alias("__dk"), ver.alias("__ver"), F.coalesce("text", F.lit("")).cast("binary").alias("__text"), F.col("text").isNull().alias("__null"), *keep)
     return texts.join(cuts, ["__dk", "__ver"], "left").select(*own, *keep)
 
 
-def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, budget: int = BUDGET, in_memory: int = IN_MEMORY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes; a null text is an empty one. Texts under ``length`` bytes lose nothing. Rows that repeat lose what
@@ -191,7 +207,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return _marked(docs, length, gram, ["doc_id"]).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return _marked(docs, length, gram, ["doc_id"], budget, in_memory).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -68,8 +68,8 @@ def test_minhash_dense_group_in_parts(spark, monkeypatch):
 
 
 def test_suffix_digests(spark):
-    for length, gram in ((400, 32), (40, 8)):
-        got = suffix.digests(frame(spark), length, gram).collect()
+    for length, gram, budget, in_memory in ((400, 32, induced.BUDGET, induced.IN_MEMORY), (40, 8, 1 << 10, 50)):  # the latter on files, by recursion
+        got = suffix.digests(frame(spark), length, gram, budget, in_memory).collect()
         rows = corpus()
         data = [(r[1] or "").encode() for r in rows]
         seen = Counter(t[i : i + length] for t in data for i in range(len(t) - length + 1))
@@ -93,8 +93,9 @@ def test_suffix_strip_keeps_columns(spark):
     assert sum(r.text is None for r in out.collect()) == sum(r[1] is None for r in corpus())
 
 
-@pytest.mark.parametrize("budget,in_memory", [(1 << 20, 1 << 20), (0, 1 << 20), (0, 3)])
-def test_induced_sorting(budget, in_memory):
+@pytest.mark.parametrize("budget,in_memory,block", [(1 << 20, 1 << 20, 1 << 20), (0, 1 << 20, 1 << 20), (0, 3, 1 << 20), (100, 0, 3)])
+def test_induced_sorting(budget, in_memory, block, monkeypatch):
+    monkeypatch.setattr(induced, "BLOCK", block)
     rng = random.Random(1)
     for trial in range(60):
         t = [rng.randint(1, rng.randint(1, 4)) for _ in range(rng.randint(1, 60))] + [0]
@@ -104,6 +105,19 @@ def test_induced_sorting(budget, in_memory):
         assert (sa.tolist(), lcp.tolist()) == (order, common)
 
 
+def test_a_shard_larger_than_its_budget():
+    """Queues, text and results lie in files, and names are sorted by induction."""
+    rng = random.Random(8)
+    parts = [bytes(rng.choices(b"abcd", k=rng.randint(40, 900))) for _ in range(300)]
+    segments = [p + rng.choice(parts)[:60] + p[::-1] for p in parts]
+    plain, spilled = induced.Shard(), induced.Shard(1 << 14, 500)
+    for s in (plain, spilled):
+        s.add(segments)
+    for mine, other in zip(plain.repeated(40), spilled.repeated(40), strict=True):
+        assert (mine == other).all()
+    assert plain.spool.spilled == 0 and spilled.spool.spilled > 10 * len(b"".join(segments))
+
+
 def test_mixing(spark):
     got = mixing.mix(frame(spark)).collect()
     rows = corpus()
