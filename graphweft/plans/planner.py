@@ -48,6 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise QueryError("NoSharedFolder", "spark.checkpoint.dir isn't set")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="graphweft-")
