@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; only where none is set (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; a cluster needs a folder that all its machines share")
         folder = tempfile.mkdtemp(prefix="graphweft-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
