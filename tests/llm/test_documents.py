@@ -215,7 +215,13 @@ def test_passages(spark):
     texts = {r[0]: r[1] for r in corpus()}
     pairs = {frozenset((r.doc_id, r.other_doc_id)) for r in got}
     assert {frozenset((2, 3)), frozenset((4, 5)), frozenset((6, 7))} <= pairs
-    assert {8, 9, 10} <= {d for r in got for d in (r.doc_id, r.other_doc_id)}
+    assert {2, 3, 4, 5, 6, 7, 8, 9, 10} <= {r.doc_id for r in got}
+    exact = defaultdict(set)
+    for k, t in texts.items():
+        w = WORD.findall(lower(t))
+        for i in range(len(w) - 49):
+            exact[tuple(w[i : i + 50])].add(k)
+    assert {k for s in exact.values() if len(s) > 1 for k in s} <= {r.doc_id for r in got}
     for r in got:
         assert r.n_words >= 50 and r.similarity >= 0.8
         if r.doc_id is not None and r.other_doc_id is not None:
