@@ -58,12 +58,13 @@ def _name(points: np.ndarray, seed: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """Names of cells, rows x tables x (own cell, then visited ones)."""
+def cells(unit: np.ndarray, tables: int = TABLES, upto: int | None = None) -> np.ndarray:
+    """Names of cells, rows x tables x (own cell, then visited ones), of the first ``upto`` tables."""
     n, d = unit.shape
-    short, out = minimal_vectors(), np.empty((n, tables, 1 + VISITS), dtype=np.int64)
+    upto = tables if upto is None else upto
+    short, out = minimal_vectors(), np.empty((n, upto, 1 + VISITS), dtype=np.int64)
     width = -(-d // 8) * 8
-    for t in range(tables):
+    for t in range(upto):
         rng = np.random.default_rng([SEED, t, d])
         blocks = min(BLOCKS, width // 8)
         base = np.linalg.qr(rng.normal(size=(width, width)))[0][:d, : 8 * blocks]
@@ -82,8 +83,9 @@ def cells(unit: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return out
 
 
-def _unit(vectors: pa.Array) -> np.ndarray:
-    x = np.array(vectors.to_pylist(), dtype=np.float64)
+def _unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    x = np.array(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
     x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -101,9 +103,9 @@ def _spread_out(classes: DataFrame, tables: int) -> DataFrame:
                 label = np.repeat(part.column("label_key").to_numpy(), each)
                 cell = (names.reshape(-1).view(np.uint64) ^ (label.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))).view(np.int64)
                 take = pa.array(np.repeat(np.arange(n), each))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.tile(np.repeat(np.arange(tables), 1 + VISITS), n), pa.int32()), pa.array(np.tile(np.arange(1 + VISITS) == 0, n * tables)), part.column("cid").take(take), part.column("k1").take(take)], ["cell", "t", "home", "cid", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.tile(np.repeat(np.arange(tables), 1 + VISITS), n), pa.int32()), pa.array(np.tile(np.arange(1 + VISITS) == 0, n * tables)), part.column("node").take(take)], ["cell", "t", "home", "node"])
 
-    return classes.select("cid", "k1", "label_key", "v").mapInArrow(run, "cell long, t int, home boolean, cid long, k1 long")
+    return classes.select("node", "label_key", "v").mapInArrow(run, "cell long, t int, home boolean, node long")
 
 
 def _meet(rows: DataFrame, classes: DataFrame, tables: int, cosine: float) -> DataFrame:
@@ -114,26 +116,28 @@ def _meet(rows: DataFrame, classes: DataFrame, tables: int, cosine: float) -> Da
         home = cols["home"][lo:hi]
         if hi - lo < 2 or not home.any():
             return
-        cid, m, label, side = (cols[k][lo:hi] for k in ("cid", "m", "label_key", "side"))
+        node, m, label, side = (cols[k][lo:hi] for k in ("node", "m", "label_key", "side"))
         u = _unit(cols["v"][lo:hi])
-        names = None
+        names, named = np.zeros((hi - lo, t + 1, 1 + VISITS), dtype=np.int64), np.zeros(hi - lo, dtype=bool)
         at_home, n, root = np.flatnonzero(home), np.zeros(hi - lo, dtype=np.int64), np.arange(hi - lo)
         links: list[np.ndarray] = []
         for k in range(0, hi - lo, 512):
             i, j = np.nonzero(u[k : k + 512] @ u[at_home].T >= cosine)  # vectors of one cell have one length
             i, j = i + k, at_home[j]
-            ok = (cid[i] != cid[j]) & (label[i] == label[j]) & ((cid[i] < cid[j]) | ~home[i])
+            ok = (node[i] != node[j]) & (label[i] == label[j]) & ((node[i] < node[j]) | ~home[i])
             ok &= (side[i] != side[j]) | ((side[i] == 2) & (side[j] == 2))  # of two parts only pairs across, of one all
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            if names is None:
-                names = cells(u, tables)
+            ends = np.zeros(hi - lo, dtype=bool)
+            ends[i], ends[j] = True, True
+            new = np.flatnonzero(ends & ~named)
+            names[new], named[new] = cells(u[new], tables, t + 1), True
             first = np.ones(len(i), dtype=bool)
             for s in range(t):
                 first &= ~((names[i, s] == names[j, s, :1]).any(axis=1) | (names[j, s] == names[i, s, :1]).any(axis=1))
-            # both visit each other: once, from the smaller id
-            first &= home[i] | (cid[i] < cid[j]) | ~(names[j, t] == names[i, t, :1]).any(axis=1)
+            # both visit each other: once, from the smaller number
+            first &= home[i] | (node[i] < node[j]) | ~(names[j, t] == names[i, t, :1]).any(axis=1)
             i, j = i[first], j[first]
             np.add.at(n, i, m[j])
             np.add.at(n, j, m[i])
@@ -150,13 +154,13 @@ def _meet(rows: DataFrame, classes: DataFrame, tables: int, cosine: float) -> Da
             if (root == before).all():
                 break
         seen = np.flatnonzero(n)
-        out[0].append(cid[seen])
-        out[1].append(cid[root[seen]])
+        out[0].append(node[seen])
+        out[1].append(node[root[seen]])
         out[2].append(n[seen])
 
     def run(batches):
         for have, bounds in runs(batches, ["cell", "pair"]):
-            cols = {c: have.column(c).to_numpy() for c in ("t", "home", "cid", "m", "label_key", "side")} | {"v": have.column("v")}
+            cols = {c: have.column(c).to_numpy() for c in ("t", "home", "node", "m", "label_key", "side")} | {"v": have.column("v")}
             out: list[list] = [[], [], []]
             for k in np.flatnonzero(np.diff(bounds) > 1):
                 group(cols, int(bounds[k]), int(bounds[k + 1]), out)
@@ -164,8 +168,8 @@ def _meet(rows: DataFrame, classes: DataFrame, tables: int, cosine: float) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["a", "b", "n"])
 
     met = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("lived")).where("rows > 1 and lived")
-    rows = table(rows.join(met.select("cell"), "cell", "left_semi"), "lattice-met").join(classes.select("cid", "k1", "m", "label_key", "v"), ["cid", "k1"])
-    dealt = deal(rows, "cell", "cid", CELL_ROWS).select("cell", "pair", "side", "t", "home", "cid", "m", "label_key", "v")
+    rows = table(rows.join(met.select("cell"), "cell", "left_semi"), "lattice-met").join(classes.select("node", "m", "label_key", "v"), "node")
+    dealt = deal(rows, "cell", "node", CELL_ROWS).select("cell", "pair", "side", "t", "home", "node", "m", "label_key", "v")
     return dealt.repartition(partitions(rows.sparkSession), "cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(run, "a long, b long, n long")
 
 
@@ -174,17 +178,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
 
     Rows with equal, non-null labels link at ``cosine`` or more. Vectors that are null, empty, zero or hold null, NaN or
     infinite components, rows without a label and rows without a vec_id link with nothing and are their own component.
-    Vectors of different length never link; rows that repeat link with each other.
+    Vectors of different length never link; rows that repeat link with each other, and so do rows of one id
+    whose vectors differ, where they are near: every row counts for itself.
     """
     rows = vectors.select("vec_id", "label", "embedding")
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(x, lambda e: e != 0)
     key = [F.col("label"), F.xxhash64(F.lit(1), x).alias("k1"), F.xxhash64(F.lit(2), x).alias("k2")]
-    classes = table(rows.where(good).select("vec_id", x.cast("array<double>").alias("v"), *key).groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v")).withColumn("label_key", F.xxhash64("label")), "lattice-classes")
+    grouped = rows.where(good).select("vec_id", x.cast("array<double>").alias("v"), *key).groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
+    # the numbers hold since the table is written once; ids wouldn't do, since one may have several vectors
+    classes = table(grouped.withColumns({"label_key": F.xxhash64("label"), "node": F.monotonically_increasing_id()}), "lattice-classes")
     found = cut(_meet(table(_spread_out(classes, tables), "lattice-cells"), classes, tables, cosine))
-    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
-    parts = connected_components(found.select("a", "b")).withColumnRenamed("node", "cid")
-    by_class = table(classes.select("label", "k1", "k2", "cid", "m").join(links, "cid", "left").join(parts, "cid", "left").select("label", "k1", "k2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id")), "lattice-found")
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    parts = connected_components(found.select("a", "b"))
+    linked = table(classes.select("node", "cid").join(links, "node").join(parts, "node"), "lattice-linked")
+    least = linked.groupBy("component").agg(F.min("cid").alias("component_id"))
+    by_class = classes.select("label", "k1", "k2", "node", "cid", "m").join(linked.join(least, "component").select("node", "n", "component_id"), "node", "left")
+    by_class = table(by_class.select("label", "k1", "k2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id")), "lattice-found")
     slim = rows.select("vec_id", F.when(good, F.col("label")).alias("label"), F.when(good, key[1]).alias("k1"), F.when(good, key[2]).alias("k2"))
     out = slim.join(by_class, ["label", "k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")

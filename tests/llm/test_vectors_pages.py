@@ -32,6 +32,8 @@ def usable(v):
 def test_lattice(spark, monkeypatch):
     monkeypatch.setattr(lattice, "CELL_ROWS", 8)
     rows, df = vectors(spark)
+    rows += [(0, rows[100][1], rows[100][2]), (0, [-x for x in rows[0][1]], rows[0][2]), (0, rows[0][1], rows[0][2])]  # one id, several vectors
+    df = df.unionByName(spark.createDataFrame(rows[-3:], "vec_id long, embedding array<float>, label int").withColumns({"cell": F.lit(1), "m": F.lit(2), "n": F.lit(3)}))
     got = lattice.near_duplicates(df).collect()
     assert len(got) == len(rows)
     good = [(i, r) for i, r in enumerate(rows) if r[0] is not None and r[2] is not None and usable(r[1]) and any(r[1])]
