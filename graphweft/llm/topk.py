@@ -1,12 +1,14 @@
 """Operator 2: exact top-k inner products by MaxScore.
 
-A dimension is a term, a row's value in it the weight of its posting. Rows are dealt into shards, and
-each shard keeps the postings of every term sorted by weight. A query's terms have score bounds from the
-ends of their postings. Once k rows are scored, the k-th best score is split over the terms in proportion to
-their bounds: what a term contributes up to its part is its non-essential postings, since a row found only in
-those can't reach the k-th score. Rows in essential postings are the candidates; the terms are then probed in
-order of their bounds, and a candidate goes when what it has and the bounds of the terms left can't reach the
-k-th score. Shards' answers are merged by a ranked window of k rows from each shard.
+A dimension is a term, a row's value in it the weight of its posting. Rows are dealt into shards, and each shard keeps
+the postings of every term sorted by weight, whose ends bound a term's part of any score. The best postings of the
+heaviest terms are scored first, which gives a k-th best score. What a row may fall short of the sum of all bounds and still reach that
+score is the slack. Terms are split by their bounds' reach: the non-essential ones, lighter, aren't traversed at all,
+and the slack is shared out over the essential ones by their reach. A row that falls short of every essential term's
+bound by more than its share falls short of the sum by more than the slack, so only postings within a share are traversed; of
+the splits (1, 2, 4, ... essential terms) the one with the fewest such postings is taken. The other terms are then probed in order of reach for the rows
+found, and a row goes when what it has and the bounds of the terms left can't reach the k-th score. Shards' answers are merged
+by a ranked window of k rows from each shard.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from graphweft.llm.common import partitions, table
 
 K, SCALE = 10, 1024
 SHARD_ROWS, QUERY_BLOCK = 8192, 1024
-#: Rows that a shard scores at once to have a first k-th score; terms probed between two looks at the bounds.
+#: Postings scored at once to have a first k-th score; terms probed between two looks at the bounds.
 SEEDS, PROBE = 256, 8
+#: Scores are held within 64 bits.
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
 class Shard:
@@ -36,76 +40,75 @@ class Shard:
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the rows but ``own``: ids and scores, ties to smaller ids."""
-        n, low, high = len(self.ids), self.sorted[0], self.sorted[-1]
-        bound = np.maximum(query * low, query * high)
-        terms = np.argsort(-np.abs(query * np.maximum(abs(low), abs(high))), kind="stable")
-        if n > SEEDS:
-            each = max(1, SEEDS // 8)
-            seeds = np.unique(np.concatenate([self.order[-each:, t] if query[t] > 0 else self.order[:each, t] for t in terms[:8]]))
-            seeds = seeds[self.ids[seeds] != own]
+        low, high = query * self.sorted[0], query * self.sorted[-1]
+        bound, reach = np.maximum(low, high), np.abs(high - low)
+        terms = np.argsort(-reach, kind="stable")
+        each = max(1, SEEDS // 8)
+        seeds = np.unique(np.concatenate([self.order[-each:, t] if query[t] > 0 else self.order[:each, t] for t in terms[:8]]))
+        seeds = seeds[self.ids[seeds] != own]
+        if len(seeds) < k:  # no k-th score yet: every posting is essential
+            found, least = np.arange(len(self.ids)), None
         else:
-            seeds = np.flatnonzero(self.ids != own)
-        scores = self.values[seeds] @ query
-        if n <= SEEDS or len(seeds) < k:
-            if n > SEEDS:
-                seeds = np.flatnonzero(self.ids != own)
-                scores = self.values[seeds] @ query
-            return self._best(seeds, scores, k)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        found = self._candidates(query, bound, least)
+            scores = _held(self.values[seeds] @ query)
+            least = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+            if least <= LOWEST:
+                least = np.minimum(low, high).sum()  # scores held at the lowest are ties
+            found = self._candidates(query, bound, reach, terms, least)
         found = found[self.ids[found] != own]
-        have = np.zeros(len(found), dtype=self.values.dtype)
-        left = bound.sum()
+        have, left = np.zeros(len(found), dtype=self.values.dtype), bound.sum()
         for at in range(0, len(terms), PROBE):
             some = terms[at : at + PROBE]
             have = have + self.values[np.ix_(found, some)] @ query[some]
             left = left - bound[some].sum()
-            competing = have + left >= least
-            found, have = found[competing], have[competing]
-        return self._best(found, have, k)
-
-    def _candidates(self, query: np.ndarray, bound: np.ndarray, least) -> np.ndarray:
-        """Rows with a posting above its term's part of ``least``; all rows where the parts leave none out."""
-        whole = int(bound.sum())
-        if whole < least:
-            return np.zeros(0, dtype=np.int64)
-        slack = [(whole - int(least)) * max(int(abs(b)), 1) for b in bound]
-        weight = sum(max(int(abs(b)), 1) for b in bound)
-        # parts sum to least - 1 at most: a row with no posting above its part is below the k-th score
-        part = [int(b) - (s // weight + 1) for b, s in zip(bound, slack)]
-        essential, cost = np.zeros(len(self.ids), dtype=bool), 0
-        for t, c in enumerate(part):
-            q = int(query[t])
-            if q == 0:
-                if c < 0:
-                    return np.arange(len(self.ids))
-                continue
-            if q > 0:  # q * x > c
-                at = np.searchsorted(self.sorted[:, t], c // q, side="right")
-                rows = self.order[at:, t]
-            else:
-                at = np.searchsorted(self.sorted[:, t], -(c // -q), side="left")
-                rows = self.order[:at, t]
-            cost += len(rows)
-            if cost > 8 * len(self.ids):
-                return np.arange(len(self.ids))
-            essential[rows] = True
-        return np.flatnonzero(essential)
-
-    def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        order = sorted(range(len(rows)), key=lambda i: (-int(scores[i]), int(self.ids[rows[i]])))[:k] if scores.dtype == object else np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][order], scores[order]
-
-
-def _matrix(ids: list, rows: list) -> np.ndarray:
-    """Whole numbers; Python ints where an inner product could leave 64 bits."""
-    wide = [[int(np.floor(SCALE * float(x))) if abs(x) > 2**40 else None for x in r] for r in rows] if any(abs(x) > 2**40 for r in rows for x in (max(r, default=0), min(r, default=0))) else None
-    if wide is None:
-        out = np.floor(SCALE * np.array(rows, dtype=np.float64)).astype(np.int64)
-        if not out.size or float(np.abs(out).max()) ** 2 * out.shape[1] < 2**62:
+            if least is not None:
+                competing = have + left >= least
+                found, have = found[competing], have[competing]
+        have = _held(have)
+        best = np.lexsort((self.ids[found], ~have))[:k]
+        return self.ids[found][best], have[best]
+
+    def _candidates(self, query: np.ndarray, bound: np.ndarray, reach: np.ndarray, terms: np.ndarray, least) -> np.ndarray:
+        """Rows with a posting within its essential term's share of the slack, for the split with the fewest of them."""
+        slack, n = int(bound.sum()) - int(least), len(self.ids)
+        heavy = [int(t) for t in terms if reach[t] > 0]
+        best, cost = None, n
+        for m in sorted({min(1 << e, len(heavy)) for e in range(len(heavy).bit_length() + 1)} - {0}):
+            whole = sum(int(reach[t]) for t in heavy[:m])
+            ranges = []
+            for t in heavy[:m]:
+                # shortfalls are whole numbers: over its share means over the share's whole part
+                worth, q = int(bound[t]) - slack * int(reach[t]) // whole, int(query[t])
+                if q > 0:  # q * x >= worth
+                    ranges.append((t, int(np.searchsorted(self.sorted[:, t], -(-worth // q), side="left")), n))
+                else:
+                    ranges.append((t, 0, int(np.searchsorted(self.sorted[:, t], worth // q, side="right"))))
+            traversed = sum(hi - lo for _, lo, hi in ranges)
+            if traversed < cost:
+                best, cost = ranges, traversed
+        if best is None:  # no split is cheaper than the postings of one whole term, which holds every row
+            return np.arange(n)
+        return np.unique(np.concatenate([self.order[lo:hi, t] for t, lo, hi in best]))
+
+
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Scores within 64 bits."""
+    if scores.dtype != object:
+        return scores
+    return np.array([max(min(int(s), HIGHEST), LOWEST) for s in scores], dtype=np.int64)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Equally long vectors as rows of a matrix in double precision."""
+    return np.array(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x); Python ints where an inner product could leave 64 bits."""
+    if float(np.abs(x).max(initial=0)) <= 2**40:
+        out = np.floor(SCALE * x).astype(np.int64)
+        if float(np.abs(out).max(initial=0)) ** 2 * x.shape[1] < 2**61:
             return out
-        return out.astype(object)
-    return np.array([[w if w is not None else int(np.floor(SCALE * float(x))) for w, x in zip(a, r)] for a, r in zip(wide, rows)], dtype=object)
+    return np.array([[int(v) * SCALE if abs(v) > 2**53 else int(np.floor(SCALE * v)) for v in row] for row in x.tolist()], dtype=object)
 
 
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -113,37 +116,44 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     Vectors that are null or empty, hold null, NaN or infinite components, or have no id take no part. Vectors meet
     only those of their own length. Fewer than k rows give as many results as there are; rows of the query's own id are
-    never its results. Scores are 64-bit; a score beyond them is held at the largest.
+    never its results. Rows that repeat are results each, and every row that asks is a query of its own, so an id that asks
+    twice has each rank twice. Ties go to the smaller vec_id. Scores are 64-bit; those beyond are held at the largest or
+    smallest and are ties there. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.select("vec_id", "embedding", is_query.alias("asks")).where(fine).withColumn("n", F.size("embedding"))
     rows, asking = (good.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first())
-    shards, blocks = max(partitions(spark), -(-rows // SHARD_ROWS)), max(1, -(-asking // QUERY_BLOCK))
+    shards = max(1, -(-rows // SHARD_ROWS))
+    blocks = max(1, -(-asking // QUERY_BLOCK), min(asking, -(-partitions(spark) // shards)))  # work for every core, however few the rows
     deal = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     index = good.select("n", deal(0, shards).alias("shard"), "vec_id", "embedding")
     packed = table(index.groupBy("n", "shard").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows")), "topk-shards")  # SHARD_ROWS or so
-    asks = good.where("asks").select("n", deal(1, blocks).alias("block"), "vec_id", "embedding")
-    asks = table(asks.groupBy("n", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries")), "topk-queries")  # QUERY_BLOCK or so
-    meet = packed.select("n", "shard").join(asks.select("n", "block"), "n").repartition(max(1, shards), "n", "shard", "block")  # every shard and every block of queries
-    work = meet.join(packed, ["n", "shard"]).join(asks, ["n", "block"]).select("rows", "queries")
+    # numbers that hold since the table is written once
+    asks = good.where("asks").select("n", deal(1, blocks).alias("block"), "vec_id", "embedding", F.monotonically_increasing_id().alias("ask"))
+    asks = table(asks.groupBy("n", "block").agg(F.collect_list(F.struct("vec_id", "embedding", "ask")).alias("queries")), "topk-queries")  # QUERY_BLOCK or so
+    meet = packed.select("n", "shard").join(asks.select("n", "block"), "n")  # every shard and every block of queries
+    tasks = min(shards * blocks, 64 * partitions(spark))
+    at = F.pmod(F.col("shard").cast("long") * blocks + F.col("block"), F.lit(tasks)).cast("int")
+    work = meet.join(packed, ["n", "shard"]).join(asks, ["n", "block"]).repartitionById(tasks, at).select("rows", "queries")
 
     def run(batches):
         for batch in batches:
-            for some, queries in zip(batch.column(0), batch.column(1)):
-                some, queries = some.as_py(), queries.as_py()
-                ids = np.array([r["vec_id"] for r in some], dtype=np.int64)
-                both = _matrix(None, [r["embedding"] for r in some] + [q["embedding"] for q in queries])
-                shard, out = Shard(ids, both[: len(some)]), [[], [], []]
-                for q, x in zip(queries, both[len(some) :]):
-                    found, scores = shard.top(q["vec_id"], x, k)
-                    out[0] += [q["vec_id"]] * len(found)
-                    out[1] += found.tolist()
-                    out[2] += [max(min(int(s), 2**63 - 1), -(2**63)) for s in scores]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    best = work.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for at in range(batch.num_rows):
+                ids, held = batch.column(0)[at].values.flatten()
+                asker, given, ask = batch.column(1)[at].values.flatten()
+                both = _whole(np.concatenate([_vectors(held), _vectors(given)]))
+                shard, out = Shard(ids.to_numpy(), both[: len(ids)]), [[], [], [], []]
+                for q, number, x in zip(asker.to_pylist(), ask.to_pylist(), both[len(ids) :]):
+                    found, scores = shard.top(q, x, k)
+                    out[0] += [q] * len(found)
+                    out[1] += [number] * len(found)
+                    out[2] += found.tolist()
+                    out[3] += scores.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "ask", "vec_id", "score"])
+
+    best = work.mapInArrow(run, "query_id long, ask long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

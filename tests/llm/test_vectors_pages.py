@@ -65,27 +65,40 @@ def test_lattice_points_are_nearest():
 
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SEEDS", 16)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rows, df = vectors(spark)
-    huge = [(300, [1e30] * 16, 1), (310, [-1e30] * 16, 1)]
-    df = df.unionByName(spark.createDataFrame(huge, "vec_id long, embedding array<float>, label int").withColumns({"cell": F.lit(1), "m": F.lit(2), "n": F.lit(3)}))
+    more = [(300, [1e30] * 16, 1), (310, [-1e30] * 16, 1), (50, rows[51][1], 1)]  # scores beyond 64 bits, an id that asks twice
+    df = df.unionByName(spark.createDataFrame(more, "vec_id long, embedding array<float>, label int").withColumns({"cell": F.lit(1), "m": F.lit(2), "ask": F.lit(3)}).withColumnRenamed("ask", "n"))
     got = topk.search(df, F.col("vec_id") % 10 == 0).collect()
-    whole = {}
-    for r in rows + huge:
-        if r[0] is not None and usable(r[1]):
-            whole.setdefault(r[0], []).append([int(np.floor(1024 * float(np.float32(x)))) for x in r[1]])
+    whole = [(r[0], [int(np.floor(1024 * float(np.float32(x)))) for x in r[1]]) for r in rows + more if r[0] is not None and usable(r[1])]
     clip = lambda s: max(min(s, 2**63 - 1), -(2**63))
     want = []
-    for q in whole:
+    for q, x in whole:
         if q % 10 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(whole[q][0], v)), c) for c in whole if c != q for v in whole[c] if len(v) == len(whole[q][0]))[:10]
-            want += [(q, k + 1, c, clip(-s)) for k, (s, c) in enumerate(scored)]
-    assert sorted((r.query_id, r.rank, r.score) for r in got) == sorted((q, k, s) for q, k, _, s in want)
-    exact = {(q, k, c) for q, k, c, s in want if abs(s) < 2**62}
-    assert exact <= {(r.query_id, r.rank, r.vec_id) for r in got}
+            scored = sorted((-clip(sum(a * b for a, b in zip(x, v))), c) for c, v in whole if c != q and len(v) == len(x))[:10]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.search(df.where("false"), F.col("vec_id") % 10 == 0).collect() == []
 
 
+def test_topk_leaves_light_terms_out(monkeypatch):
+    """Few heavy terms: only their best postings are traversed, and the answer is that of scoring every row."""
+    monkeypatch.setattr(topk, "SEEDS", 64)
+    rng = np.random.default_rng(4)
+    values = np.floor(rng.pareto(1.5, size=(3000, 24)) * 40 * (rng.random((3000, 24)) < 0.1)).astype(np.int64)
+    values[rng.random(values.shape) < 0.01] *= -1
+    shard, seen = topk.Shard(np.arange(3000)[::-1], values), []
+    kept = shard._candidates
+    shard._candidates = lambda *a: seen.append(kept(*a)) or seen[-1]
+    for own in range(0, 3000, 100):
+        query = values[2999 - own] * np.where(rng.random(24) < 0.2, -1, 1)
+        ids, scores = shard.top(own, query, 10)
+        every = sorted((-int(v @ query), 2999 - i) for i, v in enumerate(values) if 2999 - i != own)[:10]
+        assert list(zip((-scores).tolist(), ids.tolist())) == every
+    assert min(map(len, seen)) < 300 and np.mean([len(x) for x in seen]) < 2000
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]
