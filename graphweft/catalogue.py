@@ -153,6 +153,16 @@ CASES: dict[str, tuple[str, str | None]] = {
     "truncate_fields": ("MATCH (o:Order) RETURN o.o_orderkey AS k, toString(date.truncate('month', o.o_orderdate, {day: 5})) AS a, toString(localdatetime.truncate('day', o.o_orderdate, {hour: 7})) AS b, toString(date.truncate('week', o.o_orderdate, {dayOfWeek: 3})) AS c", "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate) + INTERVAL 4 DAY, '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') || 'T07:00' AS b, strftime(date_trunc('week', o_orderdate) + INTERVAL 2 DAY, '%Y-%m-%d') AS c FROM orders"),
     "duration_between_times": ("UNWIND range(0, 3) AS i RETURN i, toString(duration.between(localtime('10:00'), localtime({hour: 12 + i, minute: 30}))) AS a, duration.inSeconds(time('10:00Z'), time({hour: 10 + i, timezone: '+01:00'})).seconds AS b, duration.inMonths(date('2000-01-15'), date({year: 2000 + i, month: 3, day: 20})).months AS c", "SELECT i, 'PT' || (2 + i) || 'H30M' AS a, (i - 1) * 3600 AS b, 12 * i + 2 AS c FROM range(0, 4) t(i)"),
     "clock_fns": ("RETURN localtime.transaction() = localtime.transaction() AS a, datetime() > datetime('2020-01-01') AS b, time.statement().offset AS c, date.realtime() >= date('2020-01-01') AS d, localdatetime.statement().year > 2000 AS e", "SELECT true AS a, true AS b, 'Z' AS c, true AS d, true AS e"),
+    "proc_ping": ("CALL db.ping()", "SELECT true AS success"),
+    "proc_node_properties": ("CALL db.schema.nodeTypeProperties() YIELD nodeType, nodeLabels, propertyName, propertyTypes WITH nodeType AS t, nodeLabels[0] AS l, propertyName AS p, propertyTypes[0] AS k WHERE l IN ['Region', 'Order'] RETURN t, l, p, k", "SELECT ':' || l AS t, l, p, k FROM (VALUES ('Region', 'r_regionkey', 'int'), ('Region', 'r_name', 'str'), ('Order', 'o_orderkey', 'int'), ('Order', 'o_custkey', 'int'), ('Order', 'o_orderstatus', 'str'), ('Order', 'o_totalprice', 'float'), ('Order', 'o_orderdate', 'localdatetime'), ('Order', 'o_orderpriority', 'str')) v(l, p, k)"),
+    "proc_rel_properties": ("CALL db.schema.relTypeProperties() YIELD relType, propertyName, mandatory RETURN relType AS t, count(propertyName) AS n, max(propertyName) AS hi, count(CASE WHEN mandatory THEN 1 END) AS m", "SELECT ':`' || t || '`' AS t, 5::BIGINT AS n, 'l_shipdate' AS hi, 0::BIGINT AS m FROM (VALUES ('CONTAINS'), ('SHIPPED_BY')) v(t)"),
+    "proc_visualization": ("CALL db.schema.visualization() YIELD nodes, relationships RETURN size(nodes) AS n, head(nodes) AS a, size(relationships) AS r, last(relationships) AS b", "SELECT 10::BIGINT AS n, 'Customer' AS a, 8::BIGINT AS r, 'SHIPPED_BY' AS b"),
+    "proc_components": ("CALL dbms.components() YIELD name, versions, edition RETURN name, size(versions) AS v, edition", "SELECT 'graphweft' AS name, 1::BIGINT AS v, 'spark' AS edition"),
+    "proc_info": ("CALL dbms.info() YIELD id, name RETURN id, name", "SELECT 'graphweft' AS id, 'graphweft' AS name"),
+    "proc_client_config": ("CALL dbms.clientConfig() YIELD name RETURN count(*) AS n", "SELECT 0::BIGINT AS n"),
+    "proc_procedures": ("CALL dbms.procedures() YIELD name RETURN name", "SELECT unnest(['db.ping', 'db.labels', 'db.relationshipTypes', 'db.propertyKeys', 'db.indexes', 'db.schema.nodeTypeProperties', 'db.schema.relTypeProperties', 'db.schema.visualization', 'dbms.components', 'dbms.info', 'dbms.clientConfig', 'dbms.procedures', 'dbms.functions']) AS name"),
+    "proc_functions": ("CALL dbms.functions() YIELD name WITH name WHERE name IN ['abs', 'collect', 'nothing', 'percentiledisc', 'toupper'] RETURN name", "SELECT unnest(['abs', 'collect', 'percentiledisc', 'toupper']) AS name"),
+    "proc_beside_rows": ("UNWIND range(1, 3) AS i CALL db.ping() YIELD success RETURN i, success", "SELECT i, true AS success FROM range(1, 4) t(i)"),
     "explain": ("EXPLAIN MATCH (c:Customer) RETURN count(*) AS n", None),
 }
 
@@ -169,6 +179,11 @@ UPDATES: dict[str, tuple[list[str], str, str]] = {
     "merge_edge": (["MATCH (c:Customer)-[:FROM]->(n:Nation)-[:IN_REGION]->(r:Region) MERGE (n)-[:SELLS]->(r)"], "MATCH (n:Nation)-[:SELLS]->(r:Region) RETURN n.n_name AS n, r.r_name AS r", "SELECT DISTINCT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey"),
     "merge_on_match": (["UNWIND [1, 2] AS i CREATE (:K {i: i})", "UNWIND [1, 2, 3] AS i MERGE (k:K {i: i}) ON CREATE SET k.c = 1 ON MATCH SET k.m = 2"], "MATCH (k:K) RETURN k.i AS i, k.c AS c, k.m AS m", "SELECT * FROM (VALUES (1::BIGINT, NULL::BIGINT, 2::BIGINT), (2, NULL, 2), (3, 1, NULL)) v(i, c, m)"),
     "remove_label": (["MATCH (s:Supplier) WHERE s.s_suppkey <= 5 REMOVE s:Supplier"], "MATCH (s:Supplier) RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier WHERE s_suppkey > 5"),
+    "index_with_duplicates": ([], "CREATE UNIQUE INDEX by_nation FOR (c:Customer) ON (c.c_nationkey)", "SELECT 'by_nation' AS name, 'Customer' AS label, 'c_nationkey' AS property, true AS \"unique\", 'ERROR' AS state"),
+    "drop_index": (["CREATE INDEX a FOR (c:Customer) ON (c.c_name)", "CREATE INDEX b FOR ()-[r:CONTAINS]-() ON (r.l_quantity)", "DROP INDEX a"], "SHOW INDEXES", "SELECT 'b' AS name, 'CONTAINS' AS label, 'l_quantity' AS property, false AS \"unique\", 'PUBLIC' AS state"),
+    "proc_indexes": (["CREATE INDEX by_two FOR (o:Order) ON (o.o_custkey, o.o_orderdate)"], "CALL db.indexes() YIELD name, state, labels, properties RETURN name, state, labels[0] AS l, size(properties) AS n", "SELECT 'by_two' AS name, 'PUBLIC' AS state, 'Order' AS l, 2::BIGINT AS n"),
+    "use_database": (["CREATE DATABASE other", "USE other", "UNWIND range(1, 4) AS i CREATE (:T {k: i})"], "MATCH (n) RETURN count(*) AS n, sum(n.k) AS s", "SELECT 4::BIGINT AS n, 10::BIGINT AS s"),
+    "create_database": (["CREATE DATABASE other", "CREATE DATABASE other IF NOT EXISTS", "CREATE DATABASE third", "DROP DATABASE third"], "SHOW DATABASES", "SELECT * FROM (VALUES ('default', true), ('other', false)) t(name, current)"),
     "create_index": ([], "CREATE UNIQUE INDEX by_key FOR (c:Customer) ON (c.c_custkey)", "SELECT 'by_key' AS name, 'Customer' AS label, 'c_custkey' AS property, true AS \"unique\", 'PUBLIC' AS state"),
 }
 

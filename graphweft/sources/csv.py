@@ -15,7 +15,7 @@ from graphweft.sources.graph import Graph, empty
 
 
 def load(spark: SparkSession, folder: str, names: list[str], sep: str = "|") -> Graph:
-    """The graph in the files ``names`` of ``folder``, read in one pass each; names that fit neither form raise."""
+    """The graph in the files ``names`` of ``folder``; each is read once for its columns' types and again by every query on it. Names that fit neither form raise."""
     g = empty(spark)
     for edges in (False, True):
         for name in names:
