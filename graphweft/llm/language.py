@@ -34,7 +34,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of ``words``, the word that each belongs to, and whether a word has letters.
 
-    Case is folded, what isn't a letter becomes a boundary, and n-grams of boundaries alone are left out.
+    Case is folded, what isn't a letter becomes a boundary, and n-grams of boundaries alone or over two words are left out.
     """
     text = "\n" + "\n".join(words) + "\n"
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -47,11 +47,14 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = len(c) - n + 1
         if k <= 0:
             continue
-        h, some = np.full(k, n, dtype=np.uint64), np.zeros(k, dtype=bool)
+        h, some, within = np.full(k, n, dtype=np.uint64), np.zeros(k, dtype=bool), np.ones(k, dtype=bool)
         for j in range(n):
             h = (h ^ c[j : j + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             some |= letter[j : j + k]
+            if 0 < j < n - 1:
+                within &= code[j : j + k] != 10
+        some &= within
         owner = np.minimum(word[n - 2 : n - 2 + k], len(words) - 1)  # the word before the last boundary character
         out.append((h[some] >> np.uint64(40)) % np.uint64(BUCKETS))
         of.append(owner[some])
@@ -166,7 +169,8 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
     """The columns ``keep`` of ``docs`` (all, if none are named) with lang_pred, score (share of the predicted language) and languages (share by language).
 
     ``und``, with score 0 and no shares, for null texts, texts without a letter, and if the model knows no language.
-    Words without letters have no say; equal shares go to the language that came first by likelihood.
+    Words without letters have no say; equal shares go to the language that came first by likelihood. Every row is answered for
+    itself, so rows that repeat get equal answers, and an empty table gives no rows.
     """
     langs, logp = model
     spark = docs.sparkSession
