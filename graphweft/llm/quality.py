@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
 def score(docs: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
     """The columns ``keep``, score and predicted for every row of ``docs`` (text).
 
-    Null and empty texts get the network's answer to a document without words.
+    Null and empty texts get the network's answer to a document without words. Every row is answered for itself, so rows that
+    repeat get equal answers, and an empty table gives no rows. A probability of 0.5 exactly counts as label 1.
     """
     vectors, network = model
     net = docs.sparkSession.sparkContext.broadcast(network)

@@ -192,6 +192,83 @@ def test_quality(spark):
     assert {r.score for r in flat} == {0.5}
 
 
+def test_language_counts_and_mixture_step_by_step(spark):
+    """Trained probabilities against counting one n-gram at a time, and the mixture against a slow EM."""
+
+    def slow_grams(word):
+        c = [0, *(ord(x) if x.isalpha() else 0 for x in word), 0]
+        out = []
+        for n in (2, 3):
+            for k in range(len(c) - n + 1):
+                if any(c[k : k + n]):
+                    h = n
+                    for x in c[k : k + n]:
+                        h = (h ^ x) * 0x9E3779B97F4A7C15 % 2**64
+                        h ^= h >> 29
+                    out.append((h >> 40) % language.BUCKETS)
+        return out
+
+    rows = [(1, "Ett hus, ETT hus\nvid å7ån", "sv", "s", 1), (2, "the house of the 'hill' x", "en", "s", 1), (3, "hus 12 !!", "sv", "s", 1), (4, "left out", None, "s", 1), (5, None, "en", "s", 1), (6, "", "de", "s", 1), (2, "the house of the 'hill' x", "en", "s", 1)]
+    langs, logp = language.train(frame(spark, rows))
+    assert langs == ["de", "en", "sv"]
+    for lang, got in zip(langs, logp):
+        seen = Counter(g for _, t, own, *_ in rows if own == lang and t for w in t.lower().split() for g in slow_grams(w))
+        n = np.array([seen[b] for b in range(language.BUCKETS)])
+        assert np.allclose(got, np.log((n + language.SMOOTH) / (n.sum() + language.SMOOTH * language.BUCKETS)), atol=1e-5)
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        like = np.log(rng.random((40, 4))) * 3
+        like[:20, 0] += 6
+        like[20:32, 2] += 6
+        chosen, share = language.proportions(like)
+        slow = [1 / len(chosen)] * len(chosen)
+        for _ in range(language.STEPS):
+            total = [0.0] * len(chosen)
+            for word in like[:, chosen].tolist():
+                parts = [s * np.exp(x - max(word)) for s, x in zip(slow, word)]
+                total = [t + p / sum(parts) for t, p in zip(total, parts)]
+            slow = [t / len(like) for t in total]
+        assert sorted(chosen.tolist())[:2] == [0, 2] and share == pytest.approx(slow, abs=2e-3)
+        # a further language is in the set only if it is worth its price, and none that is left out would be
+        value = lambda some: language._em(like[:, list(some)])[1]
+        price = language.PENALTY * np.log(41)
+        assert value(chosen) - value(chosen[:-1]) > price
+        assert all(value([*chosen, j]) - value(chosen) <= price for j in range(4) if j not in chosen)
+
+
+def test_quality_vectors_one_neighbour_at_a_time(spark):
+    """Random-index vectors, pooling and the gradient against loops."""
+    rng = random.Random(6)
+    rows = [(k, sentence(rng, rng.randint(1, 30)), "en", "s", 1) for k in range(150)] + [(500, None, None, None, 0), (501, "", None, None, 0), (502, "One", None, None, 0)]
+    fixed, buckets = quality.index_vectors().astype(np.float64), quality._Buckets()
+    context = np.zeros_like(fixed)
+    for _, text, *_ in rows:
+        both = [(b % quality.WORDS, quality.WORDS + b // quality.WORDS) for b in buckets.of(text).tolist()]
+        for i, own in enumerate(both):
+            for j in range(max(0, i - quality.REACH), min(len(both), i + quality.REACH + 1)):
+                if i != j:
+                    for b in own:
+                        context[b] += fixed[both[j][0]] + fixed[both[j][1]]
+    want = np.array([c / max(np.linalg.norm(c), 1e-9) + f / max(np.linalg.norm(f), 1e-9) for c, f in zip(context, fixed)])
+    got = quality.word_vectors(frame(spark, rows))
+    assert np.allclose(got, want, atol=1e-5)
+    for _, text, *_ in rows[:5]:
+        words = [quality._Buckets().of(w)[0] for w in text.split()]
+        mean = [sum(got[w % quality.WORDS] for w in words) / len(words), sum(got[w // quality.WORDS + quality.WORDS] for w in words) / len(words)]
+        assert np.allclose(quality._pool(buckets.of(text), got), [*mean[0], *mean[1], np.log(1 + len(words))], atol=1e-4)
+    # a network that has learned is surer of what it gets right, and its heat is the best of those tried on the rows kept apart
+    x = np.random.default_rng(1).normal(size=(400, 2 * quality.SIZE + 1))
+    y = (x[:, 0] + 0.5 * x[:, 1] + np.random.default_rng(2).normal(size=400) > 0).astype(float)
+    net = quality.Network(x, y)
+    held = np.random.default_rng(quality.SEED)
+    held.normal(0, 1, net.w[0].shape), held.normal(0, 1, net.w[2].shape)
+    apart = held.random(400) < 0.2
+    loss = lambda heat: np.mean([np.log1p(np.exp(-(2 * b - 1) * a / heat)) for a, b in zip(net.logit(x[apart]), y[apart])])
+    assert loss(net.heat) <= min(map(loss, (0.25, 0.5, 1, 2, 4, 8))) + 1e-3
+    assert ((net.probability(x) >= 0.5) == y).mean() > 0.8
+
+
 def test_compact_windows_are_the_tree():
     rng = np.random.default_rng(0)
 
@@ -282,5 +359,5 @@ def test_isolated_passages_are_found_whole(spark):
 def test_empty_tables(spark):
     df = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     assert df.schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
-    for out in (minhash.components(df), suffix.digests(df), mixing.mix(df), packing.pack(df), windows.passages(df), language.detect(df, language.train(df))):
+    for out in (minhash.components(df), suffix.digests(df), mixing.mix(df), packing.pack(df), windows.passages(df), language.detect(df, language.train(df)), quality.score(df, quality.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")), ["doc_id"])):
         assert out.collect() == []
