@@ -16,6 +16,8 @@ from graphweft.llm.common import table, word_count
 LEAST_SHARE = 0.5
 #: Similarity of five-word shingles, in percent, at which one of two documents goes.
 SIMILAR = 80
+#: Words of a passage that goes where it repeats.
+PASSAGE = 50
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out byte strings that repeat; documents of which nothing is left go."""
-    left = suffix.strip(docs)
+    """Takes out byte strings and passages of PASSAGE words that repeat; documents of which nothing is left go."""
+    left = suffix.strip(docs, words=PASSAGE)
     return left.where("text <> ''").withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 

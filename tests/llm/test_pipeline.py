@@ -2,6 +2,8 @@
 
 import math
 import os
+import random
+import re
 from collections import Counter
 
 import duckdb
@@ -9,7 +11,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from graphweft.llm import mixing, registry
-from tests.llm.fixtures import SCHEMA, corpus
+from tests.llm.fixtures import SCHEMA, corpus, sentence
 from tests.llm.test_documents import closure, shingle_set
 
 DATA = "/root/testdata/sf0.001"
@@ -52,6 +54,26 @@ def test_repeats_go_and_the_rest_stays(spark, docs):
     assert len(got[8].text) < len(texts[8])
 
 
+def test_repeated_passages_of_fifty_short_words_go(spark):
+    """Passages of 50 words and under 400 bytes, in other letters and on other lines too; 49 words stay."""
+    rng = random.Random(4)
+    short = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 6))) for _ in range(n)) for n in (50, 60, 49)]
+    assert all(len(s) < 400 for s in short)
+    around = [sentence(rng, 80) for _ in range(16)]
+    forms = [short[0], short[0], short[1], short[1].upper().replace(" ", "\n", 20), short[2], short[2]]
+    texts = [f"{around[2 * k]} {s} {around[2 * k + 1]}" for k, s in enumerate(forms)] + [around[12] + " é " * 30, f"{short[0]} ", " x ".join([short[0]] * 3), "ab " * 500]
+    docs = spark.createDataFrame([(k, t, "en", "s1", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in pipeline.without_repeats(spark, docs, "").collect()}
+    want = {k: f"{around[2 * k]}  {around[2 * k + 1]}" for k in range(4)} | {k: texts[k] for k in (4, 5, 6)}
+    assert {k: got.get(k) for k in want} == want and 7 not in got and 9 not in got
+    # all words of all runs of 50 words that repeat, and no others, but for byte strings of 400
+    words = {k: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for k, t in enumerate(texts)}
+    seen = Counter(tuple(w[i : i + 50]) for w in words.values() for i in range(len(w) - 49))
+    for k, w in words.items():
+        gone = {j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+        assert [v.lower() for v in got.get(k, "").split()] == [v for j, v in enumerate(w) if j not in gone]
+
+
 def test_mixing_repeats_documents(spark, docs):
     got = Counter(r.doc_id for r in pipeline.mixed(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"]), "").collect())
     assert got and max(got.values()) <= 2 and set(got) <= {r[0] for r in corpus()}
