@@ -356,6 +356,18 @@ def test_isolated_passages_are_found_whole(spark):
         assert len(found[k]) >= 0.9 * n * 4
 
 
+def test_similar_passages_on_which_one_function_agrees(spark):
+    """Passages of 60 words, one of them changed, in texts where windows of one function alone agree; all reach 80 percent."""
+    rows = []
+    for k in (25, 176, 234, 493):
+        rng = random.Random(k)
+        words = sentence(rng, 60).split()
+        for i, own in ((2 * k, words), (2 * k + 1, [*words[:30], "changed", *words[31:]])):
+            rows.append((i, f"{sentence(rng, 150)} {' '.join(own)} {sentence(rng, 150)}"))
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in got} == {(2 * k + i, 2 * k + 1 - i) for k in (25, 176, 234, 493) for i in (0, 1)}
+
+
 def test_empty_tables(spark):
     df = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     assert df.schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
