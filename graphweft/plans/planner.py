@@ -495,6 +495,9 @@ class Planner:
             pass
         elif p.var in self.rows.scope:
             self._bound_node(p)
+        elif ends := self._unread_start(part, start):
+            self.virtual = p.var
+            self.rows.scope[p.var] = Var(self.fresh("n"), ("node", ()), True, tuple(ends))
         else:
             df, var = self._scan(p)
             self.rows.df = df if self.rows.unit else self.rows.df.crossJoin(df)
@@ -511,6 +514,20 @@ class Planner:
                 raise QueryError("VariableAlreadyBound", part.var)
             self.rows.scope[part.var] = self.add(self._path(part, pieces, start), "p")
 
+    def _unread_start(self, part: Part, start: int) -> list | None:
+        """The label sets of a start of which only the identity is read, where the edges of its first step name it; else None."""
+        p = part.nodes[start]
+        if not part.rels or p.props is not None or self.wants(p.var) != set():
+            return None
+        onward = start < len(part.rels)
+        r, far = (part.rels[start], part.nodes[start + 1]) if onward else (part.rels[start - 1], part.nodes[start - 1])
+        if r.hops is not None or r.var in self.rows.scope or far.var == p.var:
+            return None
+        direction = r.direction if onward else {"out": "in", "in": "out"}.get(r.direction, r.direction)
+        near = [t.labels for t in self.graph.nodes if set(p.labels) <= t.labels]
+        ends, _ = scans.ends(self.graph, r.types, direction, near, far.labels, p.labels)
+        return ends if scans.known(self.graph, ends) else None
+
     def _held_steps(self, part: Part, start: int) -> int:
         """Steps away from ``start`` whose edge rows are the nodes that they lead to."""
         n = 0
@@ -573,7 +590,9 @@ class Planner:
         whole_rows = scans.holding(self.graph, r.types, direction, here.kinds, b.labels, a.labels) if target is None else None
         wanted = self.wants(b.var)
         held = [(n, t) for n, t in whole_rows[0].held if wanted is None or n in wanted] if whole_rows else []
-        df, types, ends = scans.edges(self.graph, r.types, direction, prefix, self.wants(r.var), here.kinds, b.labels, a.labels, [n for n, _ in held])
+        near, far = scans.ends(self.graph, r.types, direction, here.kinds, b.labels, a.labels)
+        labelled = [e for e, unread, kinds in (("_a", a.var == self.virtual, near), ("_b", target is None and not whole_rows and wanted == set(), far)) if unread and scans.known(self.graph, kinds)]
+        df, types, ends = scans.edges(self.graph, r.types, direction, prefix, self.wants(r.var), here.kinds, b.labels, a.labels, [n for n, _ in held], labelled)
         on = self.at(here, "_id") == F.col(f"{prefix}{SEP}_a")
         if target is not None:
             if not target.flat:
@@ -581,7 +600,10 @@ class Planner:
                 target = self.rows.scope[b.var]
             on = on & (self.at(target, "_id") == F.col(f"{prefix}{SEP}_b"))
         if a.var == self.virtual:
-            self.rows.df, self.rows.unit, self.virtual = df.withColumn(f"{here.column}{SEP}_id", F.col(f"{prefix}{SEP}_a")), False, None
+            near_id = F.col(f"{prefix}{SEP}_a")
+            df = df.where(near_id.isNotNull()).withColumns({f"{here.column}{SEP}_id": near_id, **({f"{here.column}{SEP}_labels": F.col(f"`{prefix}{SEP}@_a`")} if "_a" in labelled else {})})
+            self.rows.df = df if self.rows.unit else self.rows.df.crossJoin(df)
+            self.rows.unit, self.virtual = False, None
         else:
             self.rows.df = self.rows.df.join(df, on)
         self.rows.scope[r.var] = Var(prefix, ("rel", tuple(types.items())), True, tuple(r.types))
@@ -594,7 +616,7 @@ class Planner:
             self.rows.scope[b.var] = Var(node, ("node", tuple(held)), True, (whole_rows[1],))
             self._inline(b)
         else:
-            self._arrive(b, f"{prefix}{SEP}_b", ends)
+            self._arrive(b, f"{prefix}{SEP}_b", ends, F.col(f"`{prefix}{SEP}@_b`") if "_b" in labelled else None)
         return ("one", r.var)
 
     def _bound_rel(self, here: Var, r: RelPattern, b: NodePattern, direction: str) -> tuple:
@@ -615,8 +637,8 @@ class Planner:
         self._arrive(b, far, None)
         return ("one", r.var)
 
-    def _arrive(self, b: NodePattern, column: str, ends) -> None:
-        """Binds the node at the end of a step, or checks it; no join where only its id is read and its labels are known."""
+    def _arrive(self, b: NodePattern, column: str, ends, labels: Column | None = None) -> None:
+        """Binds the node at the end of a step, or checks it; no join where only its id is read and its labels are known (of several kinds, ``labels`` has each row's)."""
         far = F.col(f"`{column}`")
         if b.var in self.rows.scope:
             self._bound_node(b)
@@ -626,6 +648,10 @@ class Planner:
             labels = F.array(*(F.lit(x) for x in sorted(ends[0]))).cast("array<string>")
             self.rows.df = self.rows.df.withColumns({f"{prefix}{SEP}_id": far, f"{prefix}{SEP}_labels": labels})
             self.rows.scope[b.var] = Var(prefix, ("node", ()), True, tuple(ends))
+        elif labels is not None:
+            prefix = self.fresh("n")
+            self.rows.df = self.rows.df.where(far.isNotNull()).withColumns({f"{prefix}{SEP}_id": far, f"{prefix}{SEP}_labels": labels})
+            self.rows.scope[b.var] = Var(prefix, ("node", ()), True, tuple(ends))
         else:
             df, var = self._scan(b, None if ends is None or None in ends else set(ends))
             self.rows.df = self.rows.df.join(df, far == F.col(f"{var.column}{SEP}_id"))

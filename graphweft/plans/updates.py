@@ -152,15 +152,17 @@ def _set_labels(p: Planner, var: str, labels: tuple, add: bool) -> None:
     if target.type[0] != "node":
         return
     ids = cut(p.rows.df.where(p.at(target, "_id").isNotNull()).select(p.at(target, "_id").alias("_u")).distinct())
-    tables = []
+    tables, moved = [], set()
     for x in p.graph.nodes:
         to = x.labels | set(labels) if add else x.labels - set(labels)
         if to == x.labels:
             tables.append(x)
             continue
+        moved.add(x.labels)
         tables.append(replace(x, df=x.df.join(ids, x.df["_id"] == ids["_u"], "left_anti")))
         tables.append(replace(x, labels=frozenset(to), df=x.df.join(ids, x.df["_id"] == ids["_u"], "left_semi")))
-    p.graph = replace(p.graph, nodes=tuple(tables))
+    # an end of which some nodes have other labels now is of no one kind
+    p.graph = replace(p.graph, nodes=tuple(tables), edges=tuple(replace(e, src=None if e.src in moved else e.src, dst=None if e.dst in moved else e.dst) for e in p.graph.edges))
     held = p.at(target, "_labels")
     extra = F.array(*(F.lit(v) for v in labels))
     p.rows.df = p.rows.df.withColumn(f"{target.column}{SEP}_labels", F.array_sort(F.array_union(held, extra) if add else F.array_except(held, extra)))

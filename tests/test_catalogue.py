@@ -64,6 +64,14 @@ def test_tables_are_read_once(spark, name, most):
     assert plan[plan.index("== Physical Plan ==") :].count("FileScan") <= most
 
 
+@pytest.mark.parametrize("name,scans", [("expand_multi_type", 2), ("edge_index_scan", 1)])
+def test_unread_ends_need_no_join(spark, name, scans):
+    """Of ends that only count, the edges know the labels: no sort or join of the edges, so a task's memory doesn't grow with them."""
+    plan = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Join" not in physical and "Sort" not in physical and physical.count("FileScan") == scans
+
+
 def test_walk_is_lazy_and_bounded(spark):
     plan = catalogue.queries()["varlen_bounded"](spark, DATA)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -158,6 +158,38 @@ def test_updates(spark):
     assert rows(s.run("MATCH ()-[r:KNOWS]->() RETURN count(r) AS n")) == [(0,)]
 
 
+KINDS = [
+    ("MATCH (a:Person)-[r:KNOWS|IN]->(x) RETURN type(r) AS t, labels(x)[0] AS l, count(*) AS n, count(a) AS c, count(DISTINCT x) AS d", [("IN", "City", 2, 2, 1), ("KNOWS", "Person", 2, 2, 2)]),
+    ("MATCH (a)-[r]->(x) RETURN labels(x) AS x, labels(a) AS a, count(*) AS n", [(["City"], ["Person"], 2), (["Person"], ["Person"], 2)]),
+    ("MATCH (x)-[r]-(a) RETURN labels(x)[0] AS x, labels(a)[0] AS a, count(DISTINCT id(x)) AS n", [("City", "Person", 1), ("Person", "City", 2), ("Person", "Person", 3)]),
+    ("MATCH (a)-[:KNOWS]->(b)-[:KNOWS|IN]->(x) RETURN labels(x)[0] AS l, count(*) AS n", [("City", 1), ("Person", 1)]),
+    ("MATCH (a)-[:KNOWS|IN]->(x) WHERE x:City RETURN count(a) AS n", [(2,)]),
+    ("MATCH (a)-[:KNOWS|IN]->(x) WHERE EXISTS { (x)-[:IN]->(:City) } RETURN count(*) AS n", [(1,)]),
+    ("MATCH (c:City) MATCH (a)-[:KNOWS|IN]->(x) RETURN c.id AS c, labels(x)[0] AS l, count(*) AS n", [(8, "City", 2), (8, "Person", 2), (9, "City", 2), (9, "Person", 2)]),
+    ("MATCH (a)-[:KNOWS|IN]->(a) RETURN count(*) AS n", [(0,)]),
+    ("MATCH (a:City)-[r:KNOWS]->(x) RETURN count(*) AS n", [(0,)]),
+]
+
+
+@pytest.mark.parametrize("text,want", KINDS)
+def test_ends_of_several_kinds(spark, text, want):
+    """Ends of which only the identity is read come from the edges, each row with its own labels; an edge without one matches nothing."""
+    g = empty(spark).add_nodes("Person", spark.createDataFrame([(1,), (2,), (3,)], "id long"), "id").add_nodes("City", spark.createDataFrame([(8,), (9,)], "id long"), "id")
+    g = g.add_edges("KNOWS", spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, None, 3), (4, 3, None)], "k long, a long, b long"), ("Person", "a"), ("Person", "b"), key="k")
+    g = g.add_edges("IN", spark.createDataFrame([(1, 1, 9), (2, 2, 9), (3, None, 9)], "k long, a long, b long"), ("Person", "a"), ("City", "b"), key="k")
+    assert sorted(rows(GraphSession(spark, g).run(text)), key=repr) == sorted(want, key=repr)
+
+
+def test_ends_after_labels_change(spark):
+    """Once some nodes of a kind have other labels, edges to that kind no longer say which labels an end has."""
+    s = people(spark, MIXED)
+    s.run("MATCH (p:Person {id: 2}) SET p:Seen")
+    s.run("MATCH (p:Person {id: 4}) REMOVE p:Person")
+    assert sorted(rows(s.run("MATCH (a)-[:KNOWS]->(x) RETURN labels(x) AS l, count(*) AS n"))) == [(["Person"], 1), (["Person", "Seen"], 1)]
+    assert rows(s.run("MATCH (a:Person)-[:LIVES_IN]->(x:Person) RETURN count(*) AS n")) == [(1,)]
+    assert rows(s.run("MATCH (x:Person)<-[:LIVES_IN]-(a) RETURN count(*) AS n")) == [(1,)]
+
+
 def test_catalogue(mixed):
     assert rows(mixed.run("CALL db.labels() YIELD label AS l RETURN l ORDER BY l")) == [("City",), ("Person",)]
     assert ("age",) in rows(mixed.run("CALL db.propertyKeys()"))
